@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -176,6 +177,14 @@ class Shared:
         return Shared._built[self.path]
 
 
+def _ids(encoder: Encoder, texts: list[str | None]) -> pa.ListArray:
+    """Lists of ids; of a null text, null."""
+    packed = [b"" if t is None else encoder.encode_packed(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)]).astype(np.int32)
+    null = np.fromiter((t is None for t in texts), bool, len(texts))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)), mask=pa.array(null))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens int, token_ids array<int>) of every row; no shuffle."""
     encoder = Shared(docs.sparkSession, vocabulary)
@@ -186,15 +195,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for whole in batches:
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
-                packed = [b"" if t is None else e.encode_packed(t) for t in texts]
-                counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-                null = np.fromiter((t is None for t in texts), bool, len(texts))
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(packed), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts.astype(np.int32), mask=null), pa.ListArray.from_arrays(pa.array(offsets), ids, mask=pa.array(null))],
-                    ["id", "n_tokens", "token_ids"],
-                )
+                ids = _ids(e, texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids), ids], ["id", "n_tokens", "token_ids"])
 
     out = rows.mapInArrow(run, "id long, n_tokens int, token_ids array<int>")
     return out.withColumnRenamed("id", id_col)
@@ -232,17 +234,17 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULAR
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, n_tokens, token_ids, decoded): ``encode``, with the text that the emitted ids stand for."""
+    """(id, n_tokens, token_ids, round_trip boolean): ``encode``, with whether decoding the emitted ids gives the text back."""
     encoder = Shared(docs.sparkSession, vocabulary)
-    encoded = encode(docs, id_col, text_col, vocabulary).withColumnRenamed(id_col, "id")
+    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [None if ids is None else e.decode(ids) for ids in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["id", "n_tokens", "token_ids", "decoded"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = batch.column(1).to_pylist()
+                ids = _ids(e, texts)
+                same = [None if t is None else e.decode(x) == t for t, x in zip(texts, ids.to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids), ids, pa.array(same, pa.bool_())], ["id", "n_tokens", "token_ids", "round_trip"])
 
-    out = encoded.mapInArrow(run, "id long, n_tokens int, token_ids array<int>, decoded string")
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_tokens int, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)

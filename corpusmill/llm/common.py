@@ -11,12 +11,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; bounds the memory of a Python worker.
@@ -61,6 +61,23 @@ def hint_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     return F.broadcast(df) if fits_broadcast(df.count(), row_bytes, limit) else df
 
 
+def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each id that isn't null, that of the smallest text (a null is smallest).
+
+    Only the id column is read to look for repeated ids; only rows that have one are shuffled.
+    """
+    key = as_type(docs, id_col, "long")
+    repeated = checkpoint(docs.select(key.alias("__id")).where("__id IS NOT NULL").groupBy("__id").count().where("count > 1").select("__id"))
+    count = repeated.count()
+    if not count:
+        return docs
+    side = F.broadcast(repeated) if fits_broadcast(count, 16) else repeated
+    order = Window.partitionBy("__key").orderBy(F.col(f"`{text_col}`").asc_nulls_first(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    some = docs.join(side, key == F.col("__id"), "left_semi").withColumn("__key", key)
+    first = some.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", "__key")
+    return docs.join(side, key == F.col("__id"), "left_anti").unionByName(first)
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy parts of ``batch`` of about ``limit`` bytes of text, at least one row each."""
     sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -73,29 +90,134 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
         start = end
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings; a null counts as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
+def replace_texts(docs: DataFrame, text_col: str, chars_col: str, change: Callable[[pa.Array], dict[int, str | None]]) -> DataFrame:
+    """The rows of ``docs`` with changed texts; those that ``change`` maps to None go.
 
+    ``change`` gets the texts of a slice of rows and returns the new ones by place. Columns are
+    taken by place, so their names may clash with anything.
+    """
+    names = [f.name for f in docs.schema]
+    at = names.index(text_col)
+    sized = names.index(chars_col) if chars_col in names and docs.schema[chars_col].dataType.typeName() in ("integer", "long") else -1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at):
+                changed = change(batch.column(at))
+                if changed:
+                    columns = batch.columns
+                    texts = columns[at].to_pylist()
+                    for r, text in changed.items():
+                        texts[r] = text
+                    if sized >= 0:
+                        counts = columns[sized].to_pylist()
+                        for r, text in changed.items():
+                            counts[r] = None if text is None else len(text)
+                        columns[sized] = pa.array(counts, columns[sized].type)
+                    columns[at] = pa.array(texts, columns[at].type)
+                    batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                    gone = [r for r, text in changed.items() if text is None]
+                    if gone:
+                        keep = np.ones(batch.num_rows, bool)
+                        keep[gone] = False
+                        batch = batch.filter(pa.array(keep))
+                yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+#: Word characters: ASCII letters and digits, and what is not ASCII but for the marks below.
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: The same words as a regular expression over lower-case text, for small brute-force versions.
+WORD_PATTERN = "[0-9A-Za-z\x80-\x9f\xc0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+"
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    global _powers
+    if len(_powers[0]) < n:
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.full(n, base, np.uint64)
+            table[0] = 1
+            tables.append(np.cumprod(table, dtype=np.uint64))
+        _powers = tables[0], tables[1]
+    return _powers
+
+
+def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A finaliser: every input bit moves every output bit."""
+    h = h ^ np.uint64(salt)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Words:
+    """The lower-case words of a column of texts, found by a few numpy passes over its bytes.
+
+    ``data`` holds the lower-case bytes, ``starts`` and ``ends`` the words' byte places in it,
+    ``rows`` for each text the range of its words, ``bounds`` the range of its bytes. Null and
+    empty texts have no words. Lower-casing maps single characters to single characters, so
+    counted characters agree with the original text.
+    """
 
-def split_words(column: pa.Array, pattern: str = r"[^\p{L}\p{N}]+") -> tuple[pa.Array, np.ndarray]:
-    """Lower-case letter-or-digit words of each text, flat, and the offsets of each text's words.
-
-    Works on whole columns in C++ (RE2): runs of other characters become one space and the
-    padded text is split there. Null and empty texts have no words.
+    def __init__(self, column: pa.Array):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        lower = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
+        bounds = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset : lower.offset + len(lower) + 1]
+        raw = lower.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
+        self.data, self.bounds = data, bounds - bounds[0]
+        mask = _WORD[data]
+        for lead, seconds, size in ((0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3), (0xC2, range(0xA0, 0xC0), 2)):
+            at = np.flatnonzero(data == lead)
+            at = at[np.isin(data[at + 1], list(seconds))]
+            for k in range(size):
+                mask[at + k] = False
+        start, end = mask.copy(), mask.copy()
+        start[1:] &= ~mask[:-1]
+        end[:-1] &= ~mask[1:]
+        first = self.bounds[:-1][np.diff(self.bounds) > 0]
+        start[first] = mask[first]
+        end[first[1:] - 1] = mask[first[1:] - 1]
+        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
+        self.rows = np.searchsorted(self.starts, self.bounds)
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word."""
+        up, down = _power_tables(len(self.data) + 1)
+        sums = np.empty(len(self.data) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((self.data + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
+        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+
+    def row_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
+
+
+def shingle_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words of each text, flat, and each text's range of them.
+
+    A text of fewer words, but one at least, has one run of all its words.
     """
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(column), pattern, " "), " ")
-    lists = pc.split_pattern(spaced, " ")
-    words = lists.flatten()
-    offsets = np.asarray(lists.offsets.to_numpy(), dtype=np.int64)
-    offsets = offsets - offsets[0]
-    empty = pc.equal(spaced, "").to_numpy(zero_copy_only=False)
-    if empty.any():  # an empty text splits into one empty word
-        keep = np.ones(len(words), bool)
-        keep[offsets[:-1][empty]] = False
-        words = words.filter(pa.array(keep))
-        lengths = np.diff(offsets)
-        lengths[empty] = 0
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-    return words, offsets
+    h, counts = words.hashes(), np.diff(words.rows)
+    if not len(h):
+        return h, np.zeros(len(counts) + 1, np.int64)
+    total = h.copy()
+    for k in range(1, n):
+        total[: len(h) - k] = mix(total[: len(h) - k] * np.uint64(3) + h[k:], k)
+    row = words.row_of_word()
+    place = np.arange(len(h)) - words.rows[row]
+    keep = place + n <= counts[row]
+    for r in np.flatnonzero((counts > 0) & (counts < n)):
+        a, b = words.rows[r], words.rows[r + 1]
+        t = h[a : a + 1]
+        for k in range(a + 1, b):
+            t = mix(t * np.uint64(3) + h[k : k + 1], k - a)
+        total[a], keep[a] = t[0], True
+    ranges = np.concatenate([[0], np.cumsum(keep)])[words.rows]
+    return total[keep], ranges
