@@ -1,13 +1,18 @@
-"""From documents to token ids: near-duplicates and benchmark passages go, what stays is encoded."""
+"""From documents to token ids: poor text, near-duplicates, benchmark passages and secrets go, what stays is encoded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe, decontaminate, simhash
+from corpusmill.llm import bpe, decontaminate, quality, secrets, simhash
 from corpusmill.llm.common import scratch_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.deduplicate(docs)
@@ -18,14 +23,25 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their detectors' names."""
+    return secrets.redact(docs)
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip) of each document."""
     return bpe.encode_and_decode(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("token_ids", token_ids)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("secret_scan", secret_scan),
+    ("token_ids", token_ids),
+]
 
-#: Near-duplicate groups, phrase cutting with spans and byte pair encoding aren't expressible; the tests compare with brute force.
+#: SQL can't express the forest, the checksums or the encoding; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
