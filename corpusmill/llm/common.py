@@ -160,7 +160,8 @@ class Words:
     """The lower-case words of a column of texts, found by a few numpy passes over its bytes.
 
     ``data`` holds the lower-case bytes, ``starts`` and ``ends`` the words' byte places in it,
-    ``rows`` for each text the range of its words, ``bounds`` the range of its bytes. Null and
+    ``mask`` whether each byte is in a word, ``rows`` for each text the range of its words,
+    ``bounds`` the range of its bytes. Null and
     empty texts have no words. Lower-casing maps single characters to single characters, so
     counted characters agree with the original text.
     """
@@ -178,6 +179,7 @@ class Words:
             at = at[np.isin(data[at + 1], list(seconds))]
             for k in range(size):
                 mask[at + k] = False
+        self.mask = mask
         start, end = mask.copy(), mask.copy()
         start[1:] &= ~mask[:-1]
         end[:-1] &= ~mask[1:]
