@@ -18,6 +18,7 @@ empty table gives an empty one; columns other than the id and the text are not l
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,8 +35,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose encodings a worker keeps; others are encoded again each time.
-KEPT_PIECES = 400_000
-KEPT_PAIRS = 2_000_000
+KEPT_PIECES = 500_000
+KEPT_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -110,35 +111,43 @@ class Encoder(dict):
         self.automaton = ahocorasick.Automaton()
         for i, token in enumerate(tokens):
             if token:
-                self.automaton.add_word(token.decode("latin-1"), i)
+                self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.pieces = regex.compile(PATTERN).findall
 
     def last_tokens(self, data: str) -> list[int]:
-        """The unique last token of every prefix of ``data``, bytes as Latin-1; index 0 is the empty prefix."""
-        last = [-1] * (len(data) + 1)
-        sizes, apart = self.sizes, self.apart
-        for end, token in self.automaton.iter(data):
-            end += 1
-            if last[end] < 0:
-                start = end - sizes[token]
-                if not start or (last[start] >= 0 and apart[last[start] << 32 | token]):
-                    last[end] = token
+        """The unique last token of every prefix of ``data``, bytes as Latin-1; of the empty prefix, -2; if there is none, -1.
+
+        The automaton reports the tokens that end at each place, the longest first.
+        """
+        last, apart, done = [-1] * (len(data) + 1), self.apart, -1
+        last[0] = -2
+        for end, (token, size) in self.automaton.iter(data):
+            if end != done:
+                before = last[end + 1 - size]
+                if before >= 0:
+                    if apart[before << 32 | token]:
+                        last[end + 1] = token
+                        done = end
+                elif before == -2:
+                    last[end + 1] = token
+                    done = end
         return last
 
-    def encode_piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        last, at, ids = self.last_tokens(data), len(data), []
+    def encode_piece(self, piece: str) -> array:
+        data = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        last, at, ids, sizes = self.last_tokens(data), len(data), [], self.sizes
         while at:
             token = last[at]
             if token < 0:
                 raise ValueError("the vocabulary lacks single bytes of the text")
             ids.append(token)
-            at -= self.sizes[token]
-        return ids[::-1]
+            at -= sizes[token]
+        ids.reverse()
+        return array("i", ids)
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.encode_piece(piece), np.int32).tobytes()
+        packed = self.encode_piece(piece).tobytes()
         if len(self) < KEPT_PIECES and len(piece) < 100:
             self[piece] = packed
         return packed
@@ -147,7 +156,7 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
+        return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -244,7 +253,8 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for batch in slices(whole, 1):
                 texts = batch.column(1).to_pylist()
                 ids = _ids(e, texts)
-                same = [None if t is None else e.decode(x) == t for t, x in zip(texts, ids.to_pylist())]
+                values, at = ids.values.to_numpy(), ids.offsets.to_pylist()
+                same = [None if t is None else e.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids), ids, pa.array(same, pa.bool_())], ["id", "n_tokens", "token_ids", "round_trip"])
 
     return rows.mapInArrow(run, "id long, n_tokens int, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
