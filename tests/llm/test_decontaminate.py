@@ -1,0 +1,135 @@
+import re
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest_rows import LONG
+
+from corpusmill.llm import decontaminate as D
+from corpusmill.llm.common import WORD_PATTERN
+from corpusmill.llm.queries import op7_decontaminate
+
+WORD = re.compile(WORD_PATTERN)
+
+
+def phrases_of(items, n, least):
+    grams = defaultdict(set)
+    for item, text in items:
+        w = WORD.findall((text or "").lower())
+        if len(w) >= least:
+            size = min(n, len(w))
+            for k in range(len(w) - size + 1):
+                grams[tuple(w[k : k + size])].add(item)
+    return grams
+
+
+def brute(text, grams):
+    found = list(WORD.finditer((text or "").lower()))
+    words, spans, items = [m.group() for m in found], [], set()
+    marked = np.zeros(len(words) + 1, bool)
+    starts = []
+    for size in {len(g) for g in grams}:
+        for k in range(len(words) - size + 1):
+            if (g := tuple(words[k : k + size])) in grams:
+                items |= grams[g]
+                starts.append((k, k + size - 1))
+    for a, b in sorted(starts):
+        if spans and a <= spans[-1][1] + 1:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
+    return [(found[a].start(), found[b].end()) for a, b in spans], sorted(items)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_index_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    seq = rng.integers(0, int(rng.integers(2, 6)), int(rng.integers(2, 80)))
+    seq[-1] = 0
+    index = D.FMIndex(seq, 6)
+    ends = seq == 0
+    plain = np.where(ends, np.cumsum(ends) - 1, seq + ends.sum())
+    assert D.suffix_array(plain).tolist() == sorted(range(len(seq)), key=lambda i: plain[i:].tolist())
+    for c in range(6):
+        for end in (0, len(seq) // 2, len(seq)):
+            assert index.matrix.rank(np.array([c]), np.array([end]))[0] == (index.bwt[:end] == c).sum()
+    patterns = np.array([[a, b, c] for a in range(1, 6) for b in range(0, 6) for c in range(0, 6) if b or not c])
+    lengths = (patterns > 0).sum(axis=1)
+    which, low, high = index.search(patterns, lengths)
+    found = {k: sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(which.tolist(), low, high)}
+    for k, (p, n) in enumerate(zip(patterns, lengths)):
+        where = [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p[:n]).all()]
+        assert found.get(k, []) == where
+
+
+def test_documents_against_brute_force(spark, small):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    grams = phrases_of(items, D.PHRASE_WORDS, D.LEAST_WORDS)
+    expected = {r.doc_id: b for r in spark.read.parquet(f"{small}/documents.parquet").collect() if (b := brute(r.text, grams))[0]}
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.item_ids) for r in op7_decontaminate(spark, small).collect()}
+    assert expected and got == expected
+
+
+ITEMS = [
+    (1, "Over the LAZY dog, and runs away from"),
+    (2, "plain words. a very long text of plain words"),
+    (3, None),
+    (4, ""),
+    (None, "one two three four five six"),
+    (5, "too short"),
+    (6, "one two three four five six"),
+]
+
+
+def test_edges(spark, edges):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    grams = phrases_of(ITEMS, D.PHRASE_WORDS, D.LEAST_WORDS)
+    got = sorted(D.find_leaks(edges, bench).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [1, 2, 7]
+    for r, text in zip(got, (edges.where("doc_id = 1").first().text, edges.where("doc_id = 2").first().text, LONG)):
+        spans, items = brute(text, grams)
+        assert ([tuple(s) for s in r.spans], r.item_ids) == (spans, items)
+    spans = D.find_leaks(spark.createDataFrame([(8, "x ONE,two—three four... five six y")], "doc_id long, text string"), bench).first()
+    assert spans.item_ids == [None, 6] and tuple(spans.spans[0]) == (2, 32)
+
+
+def test_removal(spark, edges):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    before = {r.doc_id: r for r in edges.where("doc_id in (1, 4, 8)").collect()}
+    out = D.remove_leaks(edges, bench)
+    assert out.columns == edges.columns and out.schema == edges.schema
+    after = {r.doc_id: r for r in out.where("doc_id in (1, 4, 8)").collect()}
+    assert after[1].text == "the quick brown fox jumps  the old house by the river" and after[1].n_chars == len(after[1].text)
+    assert after[1].id == 7 and after[4] == before[4] and after[8] == before[8]
+    assert out.count() == edges.count()
+    whole = spark.createDataFrame([(1, "one two three four five six!")], "doc_id long, text string")
+    assert D.remove_leaks(whole, bench).count() == 0
+
+
+def test_empty_tables(spark, edges, nothing):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert D.find_leaks(edges, bench).count() == 0
+    assert D.remove_leaks(edges, bench).count() == edges.count()
+    assert D.find_leaks(nothing, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_parts_of_a_large_test_set_find_the_same(spark, small, monkeypatch):
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    whole = {r.doc_id: set(r.item_ids) for r in D.find_leaks(docs, bench).collect()}
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 6_000)
+    assert len(list(D._parts(bench, "item_id", "text", 8, 5))) > 1
+    split: dict = {}
+    for r in D.find_leaks(docs, bench).collect():
+        split.setdefault(r.doc_id, set()).update(r.item_ids)
+    assert split == whole
+
+
+def test_words_are_cut_as_the_pattern_says():
+    from corpusmill.llm.common import Words
+
+    texts = ["", None, "a", " a ", "É’t—x y　z⁰q", "漢字 kana。b", "tail", "head", "x\x00y_z", "ÀÈ 12a"]
+    w = Words(pa.array(texts))
+    for k, t in enumerate(texts):
+        cut = [bytes(w.data[a:b]).decode() for a, b in zip(w.starts[w.rows[k] : w.rows[k + 1]], w.ends[w.rows[k] : w.rows[k + 1]])]
+        assert cut == WORD.findall((t or "").lower())
