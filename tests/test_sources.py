@@ -1,0 +1,124 @@
+import gzip
+import json
+import random
+
+import pytest
+
+from corpusmill.operators import batching, sampling
+from corpusmill.sources import archive, jsonl, shards
+
+BAD = ["not json", '{"url": "a"', "[1, 2]", '"x"', "42", "true", "null", '{"text": "no url"}', '{"url": 5}', "{'url': 'a'}", '{"url": "a"} junk', '{"url": "a", "text": 7}']
+FINE = ['{"url": "u1", "text": "one"}', '  {"url": "u2", "text": null, "unknown": 1}  ', '{"url": "u3", "n": NaN}', '{"url": "x", "url": "u4", "meta": {"a": [1]}, "embedding": [1, 2.5]}']
+
+
+def test_crawl_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join([FINE[0], "", "   ", *BAD, *FINE[1:]]) + "\n")
+    rows = jsonl.read_crawl(spark, str(tmp_path / "a.jsonl"))
+    assert jsonl.count_malformed(rows) == len(BAD) and rows.count() == len(BAD) + len(FINE)
+    good = jsonl.good(rows).orderBy("ord").collect()
+    assert [r.url for r in good] == ["u1", "u2", "u3", "u4"]
+    assert good[3].meta == '{"a": [1]}' and good[3].embedding == [1.0, 2.5] and "unknown" not in rows.columns
+
+
+def test_html_files(spark, tmp_path):
+    (tmp_path / "p.html").write_bytes(b"<p>caf\xe9</p>")
+    assert jsonl.read_html_files(spark, str(tmp_path)).first().html == "<p>caf�</p>"
+
+
+def record(kind, body, uri="http://x"):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
+def test_archive(spark, tmp_path):
+    data = record("warcinfo", b"i") + record("conversion", "é".encode()) + record("response", b"r") + record("conversion", b"two", "http://y")
+    assert list(archive.conversion_records(data)) == [("http://x", "é"), ("http://y", "two")]
+    for broken in (data[:-8], b"junk\r\n\r\n", b"WARC/1.0\r\nA: b\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(archive.conversion_records(broken))
+    (tmp_path / "x.wet.gz").write_bytes(gzip.compress(data))
+    assert archive.read_wet(spark, str(tmp_path / "x.wet.gz")).count() == 2
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_jsonl_shards(spark, tmp_path, compress):
+    out = str(tmp_path / "out")
+    docs = spark.createDataFrame([(k, f"text {k} 漢🙂", None) for k in random.Random(0).sample(range(7), 7)], "doc_id long, text string, title string")
+    manifest = shards.write_jsonl(docs, out, 3, compress=compress)
+    assert [s["records"] for s in manifest["shards"]] == [3, 3, 1] and manifest["total_records"] == 7 and manifest["shard_count"] == 3
+    assert manifest == json.loads((tmp_path / "out" / "manifest.json").read_text())
+    (tmp_path / "out" / "stray.jsonl").write_text('{"doc_id": 99}\n')
+    rows = shards.read_shards(spark, out, "doc_id long, text string, title string").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(7)) and all(r.text == f"text {r.doc_id} 漢🙂" for r in rows)
+    path = tmp_path / "out" / manifest["shards"][1]["path"]
+    opened = gzip.open(path, "rt") if compress else open(path)
+    with opened as f:
+        lines = [json.loads(x) for x in f]
+    assert [x["doc_id"] for x in lines] == [3, 4, 5] and lines[0]["title"] is None
+    path.unlink()
+    with pytest.raises(FileNotFoundError):
+        shards.read_shards(spark, out)
+
+
+def test_other_shards(spark, tmp_path):
+    docs = spark.range(10).withColumnRenamed("id", "doc_id")
+    manifest = shards.write_parquet(docs, str(tmp_path / "p"), 4)
+    assert [s["records"] for s in manifest["shards"]] == [4, 4, 2]
+    assert shards.read_shards(spark, str(tmp_path / "p")).count() == 10
+    empty = shards.write_jsonl(docs.limit(0), str(tmp_path / "e"), 4)
+    assert empty["total_records"] == 0 and shards.read_shards(spark, str(tmp_path / "e")).count() == 0
+    with pytest.raises(ValueError):
+        shards.write_jsonl(docs, str(tmp_path / "x"), 0)
+    with pytest.raises(FileNotFoundError):
+        shards.read_shards(spark, str(tmp_path))
+
+
+def test_index_is_dense_and_ordered(spark):
+    rows = shards.with_index(spark.range(1000).repartition(7).withColumnRenamed("id", "k"), "k").collect()
+    assert all(r.idx == r.k for r in rows) and len(rows) == 1000
+
+
+def test_batches(spark):
+    draw = random.Random(1)
+    lengths = [draw.randrange(1, 600) for _ in range(300)] + [20_000]
+    docs = spark.createDataFrame([(k, "x" * n) for k, n in enumerate(lengths)], "doc_id long, text string")
+    for by_length in (True, False):
+        order = sorted(range(301), key=lambda k: lengths[k]) if by_length else range(301)
+        numbers = batching.pack(__import__("numpy").array([lengths[k] for k in order]))
+        rows = batching.adaptive_batches(docs, sort_by_length=by_length, partitions=1).collect()
+        assert {r.doc_id: r.batch_id for r in rows} == dict(zip(order, numbers.tolist()))
+    spread = batching.adaptive_batches(docs, partitions=4)
+    sizes = spread.groupBy("batch_part", "batch_id").agg({"length": "max", "doc_id": "count"}).collect()
+    assert all(r["count(doc_id)"] <= 64 and (r["count(doc_id)"] == 1 or r["max(length)"] * r["count(doc_id)"] <= 16_384) for r in sizes)
+    assert sum(r["count(doc_id)"] for r in sizes) == 301
+    good, bad = (batching.padding(batching.adaptive_batches(docs, sort_by_length=s, partitions=1)).first().efficiency for s in (True, False))
+    assert good > 0.85 > bad and batching.padding(batching.adaptive_batches(docs.limit(0), partitions=1)).first().efficiency == 1.0
+    with pytest.raises(ValueError):
+        batching.adaptive_batches(docs, max_batch_size=0)
+    vectors = {r.doc_id: len(r.embedding) for r in batching.embed(spread, batching.HashEncoder).collect()}
+    assert vectors == dict.fromkeys(range(301), 64)
+
+
+def test_an_encoder_must_answer_for_every_text(spark):
+    class Short:
+        def encode(self, texts):
+            return [[1.0]] * (len(texts) - 1)
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="returned 1 vectors for 2 texts"):
+        batching.embed(batching.adaptive_batches(docs, partitions=1), Short).collect()
+
+
+def test_samples(spark):
+    docs = spark.range(40).withColumnRenamed("id", "doc_id")
+    held, draw = [], random.Random(5)
+    for k in range(40):
+        if k < 5:
+            held.append(k)
+        elif (at := draw.randrange(k + 1)) < 5:
+            held[at] = k
+    assert [r.doc_id for r in sampling.reservoir_sample(docs.repartition(6), 5, seed=5).collect()] == held
+    one, two = ({r.doc_id for r in sampling.hash_sample(d, 7, seed=1).collect()} for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == 7
+    for f in (sampling.hash_sample, sampling.reservoir_sample):
+        with pytest.raises(ValueError):
+            f(docs, 0)

@@ -1,0 +1,58 @@
+import unicodedata
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+
+
+def apply(spark, texts, f):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    return [r.out for r in rows.select("k", f(F.col("text")).alias("out")).orderBy("k").collect()]
+
+
+def test_normalize_steps(spark):
+    cases = {
+        "a​b‮c﻿": "abc", "a\x00b\x0cc\x85d": "abcd", "ｆｕｌｌ ﬁne…": "full fine...", "‘a’ “b”": "'a' \"b\"", "a\t  b\rc": "a b c",
+        "a\n\n\n\n b": "a\n\nb", "a\n \n \nb": "a\n\nb", " a \n b ": "a\nb", "a\n\nb": "a\n\nb", "": "", "  \n ": "", "é": "é", "a b": "a b",
+    }
+    assert apply(spark, list(cases), T.normalize) == list(cases.values())
+    assert apply(spark, [None], T.normalize) == [""]
+    assert apply(spark, list(cases.values()), T.normalize) == list(cases.values())
+
+
+def test_forms(spark):
+    texts = ["é", "é", "ﬁ", "plain", None]
+    for form in ("NFC", "NFD", "NFKC", "NFKD"):
+        assert apply(spark, texts, lambda c: T.normalize_unicode(c, form)) == [None if t is None else unicodedata.normalize(form, t) for t in texts]
+    assert apply(spark, ["STRASSE ß Σς"], T.casefold) == ["strasse ss σσ"]
+
+
+def test_words(spark):
+    cases = {
+        "don't stop—now": ["don't", "stop", "now"], "GPU-based 2nd x86": ["GPU-based", "nd", "x"], "हिन्दी में": ["हिन्दी", "में"], "café au": ["café", "au"],
+        "": [], "123 45": [], "a-": ["a"], "rock’n’roll": ["rock’n’roll"],
+    }
+    assert apply(spark, list(cases), T.words) == list(cases.values())
+    assert apply(spark, ["漢" * 200_000], lambda c: F.size(T.words(c))) == [1]
+
+
+def test_lines_and_counts(spark):
+    assert apply(spark, [" a \n\n　b\n \t"], T.lines) == [["a", "b"]]
+    assert apply(spark, ["....... x ..."], lambda c: T.occurrences(c, "...")) == [3]
+    assert apply(spark, ["https://example.com/a"], T.doc_id) == ["2dce0a4c50441bfc"]
+
+
+@pytest.fixture(scope="module")
+def fuzz(spark):
+    return spark
+
+
+@settings(max_examples=15, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab \n\t\r ​ é…“'", max_size=30), min_size=20, max_size=40))
+def test_normalize_twice_is_once(fuzz, texts):
+    once = apply(fuzz, texts, T.normalize)
+    assert apply(fuzz, once, T.normalize) == once
+    assert not any("\n\n\n" in t or t != t.strip() or "  " in t for t in once)
