@@ -44,8 +44,12 @@ def pattern(script: str, quantifier: str = "") -> str:
 
 def with_counts(docs: DataFrame, text: Column, prefix: str = "_n_", sample: int = SAMPLE_CHARS) -> DataFrame:
     """Adds the number of letters of each script in the first ``sample`` characters."""
-    head = F.substring(F.coalesce(text, F.lit("")), 1, sample)
-    return bind(docs, prefix, {s: F.regexp_count(head, F.lit(pattern(s))).cast("long") for s in RANGES})
+    headed = bind(docs, "_h_", {"head": F.substring(F.coalesce(text, F.lit("")), 1, sample)})
+    # what is left without the Latin blocks is short or empty for most texts, so the other patterns cost little
+    letters = F.regexp_replace("_h_head", f"[^{RANGES['latin']}]+", "")
+    split = bind(headed, "_h_", {"latin": F.length(F.regexp_replace(letters, r"\P{L}+", "")), "rest": F.regexp_replace("_h_head", r"[\x{00}-\x{24f}]+", "")})
+    each = {s: (F.col("_h_latin") if s == "latin" else F.regexp_count("_h_rest", F.lit(pattern(s)))).cast("long") for s in RANGES}
+    return bind(split, prefix, each).drop("_h_head", "_h_latin", "_h_rest")
 
 
 def with_profile(docs: DataFrame, text: Column, prefix: str = "profile_", sample: int = SAMPLE_CHARS) -> DataFrame:

@@ -12,13 +12,14 @@ from corpusmill.functions import text as T
 from corpusmill.operators import batching, exact, extract, minhash, quality, sampling
 from corpusmill.plans import corpus
 from corpusmill.sources import shards
+from corpusmill.storage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(sql: str | None = None):

@@ -24,3 +24,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Input for each core up to which a table in few files is spread.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in fewer files than there are cores, dealt out to all cores; any other as it is.
+
+    A file of one row group is one task however it is split. Beyond the size, moving the rows costs more than it saves.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= cores * SPREAD_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
