@@ -42,7 +42,7 @@ RULE_TYPE = "struct<name:string,passed:boolean,value:double,threshold:double>"
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the counts that all rules are made of, as columns named ``_m_...``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = {"text": text, "words": T.words(text), "lines": T.lines(text), "tokens": F.regexp_extract_all(text, F.lit(f"[^{T.SPACE}]+"), F.lit(0)), "lower": F.lower(text)}
+    parts = {"text": text, "words": T.words(text), "lines": T.lines(text), "tokens": F.filter(F.split(text, f"[{T.SPACE}]+"), lambda x: x != ""), "lower": F.lower(text)}
     first = T.bind(docs, "_t_", parts)
     words, lines, whole, tokens = (F.col(f"_t_{k}") for k in ("words", "lines", "text", "tokens"))
 
@@ -65,7 +65,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "line_chars": F.length(F.array_join(lines, "")).cast("long"),
         "distinct_line_chars": F.length(F.array_join(F.array_distinct(lines), "")).cast("long"),
         "markers": sum((F.contains(F.col("_t_lower"), F.lit(m)).cast("long") for m in MARKERS), F.lit(0)).cast("long"),
-        "letters": F.length(F.regexp_replace(whole, r"[^\p{L}]+", "")).cast("long"),
+        "letters": F.length(F.regexp_replace(whole, r"\P{L}+", "")).cast("long"),
     }
     return T.bind(first, PREFIX, counts).drop(*(f"_t_{k}" for k in parts))
 
