@@ -34,9 +34,9 @@ RANGES = {
 }
 #: The Latin ranges without their two signs. Positive classes, since Java matches negated ones far more slowly.
 LATIN_LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
-UNSPACED = ("han", "hiragana", "katakana", "thai", "lao", "khmer", "myanmar", "tibetan", "japanese")
-UNPUNCTUATED = ("thai", "lao", "khmer", "myanmar", "tibetan")
-DENSE = ("hangul", "devanagari", "bengali", "ethiopic", "tibetan", "thai", "lao", "khmer", "myanmar")
+UNSPACED = tuple("han hiragana japanese katakana khmer lao myanmar thai tibetan".split())
+UNPUNCTUATED = tuple("khmer lao myanmar thai tibetan".split())
+DENSE = tuple("bengali devanagari ethiopic hangul khmer lao myanmar thai tibetan".split())
 
 
 def pattern(script: str, quantifier: str = "") -> str:

@@ -7,10 +7,9 @@ is the text. It is a state machine over tags, so it runs as an Arrow function ov
 
 from __future__ import annotations
 
-import html
 import re
-from html.parser import HTMLParser
-from statistics import median
+import statistics
+from html import parser, unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +25,7 @@ SKIPPED = frozenset("aside button canvas embed figcaption figure footer form hea
 BREAKS = frozenset("article blockquote br dd div dt h1 h2 h3 h4 h5 h6 hr li main p pre section td th tr".split())
 
 
-class Page(HTMLParser):
+class Page(parser.HTMLParser):
     """Collects blocks as [pieces of text, characters inside links, is a heading]."""
 
     def __init__(self) -> None:
@@ -86,7 +85,7 @@ def weight(text: str, linked: int, heading: bool) -> float:
 def best_run(scores: list[float]) -> tuple[int, int]:
     """The slice with the largest sum once half the mean of the capped scores is taken off each; the first of equals."""
     positive = [s for s in scores if s > 0]
-    cap = 4 * median(positive) if positive else 0.0
+    cap = 4 * statistics.median(positive) if positive else 0.0
     off = 0.5 * (sum(min(s, cap) for s in scores) / len(scores))
     best, found, total, begin = float("-inf"), (0, 1), 0.0, 0
     for k, score in enumerate(scores):
@@ -107,7 +106,7 @@ def extract_page(source: str | None, min_block_chars: int = 25) -> tuple[str, st
         page.close()
     except Exception:  # noqa: BLE001  what was parsed of a page that the parser can't take is still used
         pass
-    title = one_space(html.unescape("".join(page.title))) if page.title else None
+    title = one_space(unescape("".join(page.title))) if page.title else None
     blocks = [(one_space("".join(pieces)), linked, heading) for pieces, linked, heading in page.blocks]
     blocks = [b for b in blocks if b[0]]
     if not blocks:

@@ -55,9 +55,9 @@ def multiply_add(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _fold(_fold(ll + lh) + _fold(hh) + b)
 
 
-def shingle_set(text: str, n: int = 5) -> set[str]:
-    found = _WORD.findall(text.lower())
-    return {" ".join(found[k : k + n]) for k in range(max(1, len(found) - n + 1))} if found else set()
+def shingle_set(source: str, width: int = 5) -> set[str]:
+    found = _WORD.findall(source.lower())
+    return {" ".join(found[k : k + width]) for k in range(max(1, len(found) - width + 1))} if found else set()
 
 
 def sign(text: str, a: np.ndarray, b: np.ndarray, n: int = 5) -> np.ndarray:

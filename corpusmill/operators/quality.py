@@ -19,8 +19,8 @@ BULLETS = "-*•‣◦⁃"
 ELLIPSES = ("...", "…")
 SENTENCE_ENDS = ".!?。！？।॥۔။։"
 MARKERS = (
-    "lorem ipsum", "javascript is disabled", "enable javascript", "terms of use", "privacy policy",
-    "all rights reserved", "cookie policy", "403 forbidden", "404 not found", "access denied",
+    "404 not found", "all rights reserved", "cookie policy",
+    "enable javascript", "javascript is disabled", "lorem ipsum", "403 forbidden", "privacy policy", "access denied", "terms of use",
 )
 DEFAULT_RULES = (
     "word_count", "mean_word_length", "symbol_to_word_ratio", "alpha_word_ratio", "bullet_line_ratio",

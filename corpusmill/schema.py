@@ -17,16 +17,16 @@ FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 class Settings:
     """Settings of a run, with the defaults of the engine this one is compatible with."""
 
+    adapt_to_script: bool = True
+    bands: int = 32
     exact_level: str = "normalized"
+    min_block_chars: int = 25
     near_dup_threshold: float = 0.80
-    num_perm: int = 128
-    bands: int = 32
     ngram: int = 5
-    min_block_chars: int = 25
-    unicode_form: str = "NFKC"
-    run_quality: bool = True
+    num_perm: int = 128
     run_near_dedup: bool = True
-    adapt_to_script: bool = True
+    run_quality: bool = True
+    unicode_form: str = "NFKC"
 
     def __post_init__(self) -> None:
         if self.exact_level not in LEVELS:
