@@ -20,10 +20,11 @@ as they are, whatever their names, by ``remove_leaks``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,37 +131,37 @@ class Phrases:
     def __init__(self, items: pa.Table, n: int, least: int):
         words = Words(items.column(1).combine_chunks() if items.num_rows else pa.array([], pa.string()))
         self.vocabulary, symbols = np.unique(words.hashes(), return_inverse=True)
-        rows, owners = [], []
-        for item, a, b in zip(items.column(0).to_pylist(), words.rows, words.rows[1:]):
-            if b - a >= least:
-                size = min(n, int(b - a))
-                for k in range(a, b - size + 1):
-                    rows.append(np.pad(symbols[k : k + size] + 1, (0, n - size)))
-                    owners.append(item)
-        found = np.array(rows, np.int64).reshape(-1, n)
-        self.rows, number = np.unique(found, axis=0, return_inverse=True) if len(found) else (found, [])
+        self.item_ids = items.column(0).to_pylist()
+        counts = np.diff(words.rows)
+        sizes = np.minimum(n, counts)
+        number = np.where(counts >= max(1, least), counts - sizes + 1, 0)
+        owners = np.repeat(np.arange(len(counts)), number)
+        first = words.rows[owners] + np.arange(len(owners)) - np.repeat(np.cumsum(number) - number, number)
+        padded = np.r_[symbols + 1, np.zeros(n, np.int64)].astype(np.int32)
+        found = np.where(np.arange(n) < sizes[owners, None], padded[first[:, None] + np.arange(n)], np.int32(0))
+        self.rows, which = np.unique(found, axis=0, return_inverse=True) if len(found) else (found, np.zeros(0, np.int64))
         self.lengths = (self.rows > 0).sum(axis=1)
-        self.items: list[set] = [set() for _ in range(len(self.rows))]
-        for k, item in zip(np.ravel(number), owners):
-            self.items[k].add(item)
+        # each phrase's items stand together
+        pairs = np.unique(np.ravel(which) * len(counts) + owners)
+        self.owners = (pairs % max(1, len(counts))).astype(np.int32)
+        self.bounds = np.searchsorted(pairs, np.arange(len(self.rows) + 1) * len(counts))
         self.shortest = int(self.lengths.min()) if len(self.rows) else 0
 
+    def items(self, phrase: int) -> list:
+        return [self.item_ids[k] for k in self.owners[self.bounds[phrase] : self.bounds[phrase + 1]]]
 
-def find_in_shard(column: pa.Array, phrases: Phrases) -> dict[int, tuple[list[tuple[int, int]], list]]:
-    """For each text that holds a phrase: its removal spans in characters, and the items found."""
-    if not len(phrases.rows):
-        return {}
-    words = Words(column)
-    hashes = words.hashes()
-    if not len(hashes):
-        return {}
+
+def occurrences(hashes: np.ndarray, row: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all occurrences of phrases in a shard, and the phrases' numbers, by a shard's word hashes and their rows."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(phrases.rows) or not len(hashes):
+        return none
     at = np.minimum(np.searchsorted(phrases.vocabulary, hashes), len(phrases.vocabulary) - 1)
     symbol = np.where(phrases.vocabulary[at] == hashes, at + 1, 0)
-    row = words.row_of_word()
     # stretches of words that occur in phrases, within one text
     known = np.flatnonzero(symbol)
     if not len(known):
-        return {}
+        return none
     new = np.r_[True, (np.diff(known) > 1) | (np.diff(row[known]) > 0)]
     first = np.flatnonzero(new)
     sizes = np.diff(np.r_[first, len(known)])
@@ -168,7 +169,7 @@ def find_in_shard(column: pa.Array, phrases: Phrases) -> dict[int, tuple[list[tu
     long = sizes >= phrases.shortest
     known, stretch = known[long[stretch]], (np.cumsum(long) - 1)[stretch[long[stretch]]]
     if not len(known):
-        return {}
+        return none
     place = np.arange(len(known)) + stretch  # one separator stands behind each stretch
     seq = np.zeros(len(known) + int(stretch[-1]) + 1, np.int64)
     seq[place] = symbol[known]
@@ -178,26 +179,43 @@ def find_in_shard(column: pa.Array, phrases: Phrases) -> dict[int, tuple[list[tu
     which, low, high = index.search(phrases.rows, phrases.lengths)
     counts = high - low
     if not len(which):
-        return {}
+        return none
     flat = np.repeat(low - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    phrase = np.repeat(which, counts)
-    begin = word_at[index.locate(flat)]
+    return word_at[index.locate(flat)], np.repeat(which, counts)
+
+
+def find_in_shard(column: pa.Array, parts: Iterable[Phrases]) -> dict[int, tuple[list[tuple[int, int]], list]]:
+    """For each text that holds a phrase of any part: its removal spans in characters, and the items found.
+
+    Every part is searched in the text as it is; the occurrences of all parts are merged at once.
+    """
+    words = Words(column)
+    hashes, row = words.hashes(), words.row_of_word()
+    if not len(hashes):
+        return {}
+    firsts, lasts, items = [], [], {}
+    for phrases in parts:
+        begin, phrase = occurrences(hashes, row, phrases)
+        firsts.append(begin)
+        lasts.append(begin + phrases.lengths[phrase] - 1)
+        for r, k in set(zip(row[begin].tolist(), phrase.tolist())):
+            items.setdefault(r, set()).update(phrases.items(k))
+    if not items:
+        return {}
+    begin, last = np.concatenate(firsts), np.concatenate(lasts)
     order = np.argsort(begin, kind="stable")
-    begin, phrase = begin[order], phrase[order]
-    reach = np.maximum.accumulate(begin + phrases.lengths[phrase] - 1)
+    begin = begin[order]
+    reach = np.maximum.accumulate(last[order])
     opens = np.r_[True, (begin[1:] > reach[:-1] + 1) | (row[begin[1:]] != row[begin[:-1]])]
     closes = np.r_[opens[1:], True]
     chars = np.zeros(len(words.data) + 1, np.int64)
     np.cumsum((words.data & 0xC0) != 0x80, out=chars[1:])
-    found: dict[int, tuple[list, set]] = {}
+    spans: dict[int, list[tuple[int, int]]] = {}
     base = chars[words.bounds]
     for a, b in zip(begin[opens], reach[closes]):
         r = int(row[a])
-        span = (int(chars[words.starts[a]] - base[r]), int(chars[words.ends[b]] - base[r]))
-        found.setdefault(r, ([], set()))[0].append(span)
-    for r, k in set(zip(row[begin].tolist(), phrase.tolist())):
-        found[r][1].update(phrases.items[k])
-    return {r: (spans, sorted(items, key=lambda x: (x is not None, x))) for r, (spans, items) in found.items()}
+        spans.setdefault(r, []).append((int(chars[words.starts[a]] - base[r]), int(chars[words.ends[b]] - base[r])))
+    return {r: (spans[r], sorted(found, key=lambda x: (x is not None, x))) for r, found in items.items()}
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, n: int, least: int) -> Iterator[Phrases]:
@@ -209,56 +227,58 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, n: int, least: int)
         yield Phrases(items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toArrow(), n, least)
 
 
+def _each(shared: list[Broadcast]) -> Iterator[Phrases]:
+    """The parts, in a worker. One part is kept; of several, each is read again from the executor's disk, so that one is held at a time."""
+    for part in shared:
+        yield part.value
+        if len(shared) > 1 and getattr(part, "_path", None):
+            vars(part).pop("_value", None)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = PHRASE_WORDS, least: int = LEAST_WORDS
 ) -> DataFrame:
     """(id, item_ids array<long>, spans array<struct<start:int,end:int>>) of the rows that hold test phrases.
 
-    Spans are in characters, end exclusive. If the test texts are too large to broadcast at
-    once, there is a row for each part of them that a document holds phrases of.
+    Spans are in characters, end exclusive. However large the test texts are, a row of ``docs`` has one row at most.
     """
     rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
     schema = "id long, item_ids array<long>, spans array<struct<start:int,end:int>>"
     struct = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    out = None
-    for phrases in _parts(benchmark, item_col, item_text, n, least):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, 1):
-                    found = find_in_shard(batch.column(1), shared.value)
-                    at = sorted(found)
-                    if at:
-                        spans = [[{"start": a, "end": b} for a, b in found[r][0]] for r in at]
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(at)), pa.array([found[r][1] for r in at], pa.list_(pa.int64())), pa.array(spans, pa.list_(struct))], ["id", "item_ids", "spans"]
-                        )
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+    shared = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _parts(benchmark, item_col, item_text, n, least)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                found = find_in_shard(batch.column(1), _each(shared))
+                at = sorted(found)
+                if at:
+                    spans = [[{"start": a, "end": b} for a, b in found[r][0]] for r in at]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at)), pa.array([found[r][1] for r in at], pa.list_(pa.int64())), pa.array(spans, pa.list_(struct))], ["id", "item_ids", "spans"]
+                    )
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars", item_text: str = "text", n: int = PHRASE_WORDS, least: int = LEAST_WORDS) -> DataFrame:
     """The same rows and columns with all removal spans cut out of the text; no shuffle.
 
     A document of which no word is left goes. ``chars_col``, if there, is set to the new length
-    of changed texts. Later parts of large test sets see the text that earlier ones left.
+    of changed texts. All phrases are searched in the original text, however large the test set is.
     """
-    for phrases in _parts(benchmark, benchmark.columns[0], item_text, n, least) if benchmark.columns[0] != item_text else _parts(benchmark.select(F.lit(0).alias("id"), F.col(f"`{item_text}`")), "id", item_text, n, least):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def change(column: pa.Array, shared=shared) -> dict[int, str | None]:
-            changed: dict[int, str | None] = {}
-            for r, (spans, _) in find_in_shard(column, shared.value).items():
-                text, at, kept = column[r].as_py(), 0, []
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                text = "".join([*kept, text[at:]])
-                changed[r] = text if any(c.isalnum() for c in text) else None
-            return changed
-
-        docs = replace_texts(docs, text_col, chars_col, change)
-    return docs
+    items = benchmark.select(F.lit(0).alias("id"), F.col(f"`{item_text}`").alias("text"))
+    shared = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _parts(items, "id", "text", n, least)]
+
+    def change(column: pa.Array) -> dict[int, str | None]:
+        changed: dict[int, str | None] = {}
+        for r, (spans, _) in find_in_shard(column, _each(shared)).items():
+            text, at, kept = column[r].as_py(), 0, []
+            for a, b in spans:
+                kept.append(text[at:a])
+                at = b
+            text = "".join([*kept, text[at:]])
+            changed[r] = text if any(c.isalnum() for c in text) else None
+        return changed
+
+    return replace_texts(docs, text_col, chars_col, change)

@@ -125,6 +125,30 @@ def test_parts_of_a_large_test_set_find_the_same(spark, small, monkeypatch):
     assert split == whole
 
 
+def test_parts_change_no_result(spark, small, monkeypatch):
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(words[7 * k : 7 * k + 8])) for k in range(5)]  # each shares a word with the next
+    joined = "a1 a2 a3 a4 b5 b6 b7 b8"  # stands in the text only once another phrase is cut out of it
+    bench = spark.createDataFrame([*items, (9, joined)], "item_id long, text string")
+    texts = [(1, "x " + " ".join(words) + " y"), (1, "z " + " ".join(words[:20])), (2, f"p a1 a2 a3 a4 {items[0][1]} b5 b6 b7 b8 q"), (3, "nothing of it")]
+    given = spark.createDataFrame(texts, "doc_id long, text string")
+    tables = (given, bench), (spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet"))
+
+    def results():
+        return [(sorted(map(str, D.find_leaks(d, b).collect())), sorted(map(str, D.remove_leaks(d, b).collect()))) for d, b in tables]
+
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 1 << 40)
+    assert len(list(D._parts(bench, "item_id", "text", 8, 5))) == 1
+    whole = results()
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 500)
+    assert len(list(D._parts(bench, "item_id", "text", 8, 5))) > 3
+    assert results() == whole
+    found = sorted((r.doc_id, [tuple(s) for s in r.spans], r.item_ids) for r in D.find_leaks(given, bench).collect())
+    grams = phrases_of([(r.item_id, r.text) for r in bench.collect()], 8, 5)
+    assert found == sorted((i, *brute(t, grams)) for i, t in texts if brute(t, grams)[0])
+    assert "p a1 a2 a3 a4  b5 b6 b7 b8 q" in {r.text for r in D.remove_leaks(given, bench).collect()}
+
+
 def test_words_are_cut_as_the_pattern_says():
     from corpusmill.llm.common import Words
 
