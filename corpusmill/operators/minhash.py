@@ -133,6 +133,33 @@ def similar_pairs(signed: DataFrame, threshold: float = 0.8, num_perm: int = 128
     return joined.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def with_lead(signed: DataFrame, key_col: str = "ord", sig_col: str = "sig") -> DataFrame:
+    """Adds ``lead``, the first key with the same signature."""
+    same = Window.partitionBy("_hash", sig_col)
+    return signed.withColumn("_hash", F.xxhash64(sig_col)).withColumn("lead", F.min(key_col).over(same)).drop("_hash")
+
+
+def _every_row(pairs: DataFrame, grouped: DataFrame, *same: Column) -> DataFrame:
+    """Pairs (a, b, ...) of leads become those of all rows (ord, lead); rows of one lead are pairs too, with ``same`` as the further columns."""
+    members = grouped.select("ord", "lead")
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    across = pairs.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *rest)
+    within = members.toDF("a", "lead").join(members.toDF("b", "lead"), "lead").where("a < b").select("a", "b", *same)
+    return across.unionByName(within)
+
+
+def all_candidates(signed: DataFrame, num_perm: int = 128, bands: int = 32) -> DataFrame:
+    """``candidates`` of every row (ord, sig), of unique ``ord``; bands are joined once for each distinct signature."""
+    grouped = checkpoint(with_lead(signed))
+    return _every_row(candidates(grouped.where("ord = lead"), num_perm, bands), grouped)
+
+
+def all_similar_pairs(signed: DataFrame, threshold: float = 0.8, num_perm: int = 128, bands: int = 32) -> DataFrame:
+    """``similar_pairs`` of every row (ord, sig), of unique ``ord``; verified once for each pair of distinct signatures."""
+    grouped = checkpoint(with_lead(signed))
+    return _every_row(similar_pairs(grouped.where("ord = lead"), threshold, num_perm, bands), grouped, F.lit(1.0).alias("similarity"))
+
+
 def greedy(edges: DataFrame) -> DataFrame:
     """(k, kept) of every row with an edge to an earlier one: it goes if one of those stays, in input order.
 
@@ -155,9 +182,7 @@ def deduplicate(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, ba
     The match reported is the most similar of the earlier rows that stay, the first of them in a tie.
     """
     signed = checkpoint(docs.select(F.col(order_col).alias("ord"), signature(F.col(text_col), num_perm, ngram).alias("sig")))
-    same = Window.partitionBy("hash", "sig")
-    grouped = signed.withColumn("hash", F.xxhash64("sig")).withColumn("lead", F.min("ord").over(same)).drop("hash")
-    grouped = checkpoint(grouped)
+    grouped = checkpoint(with_lead(signed))
     leads = grouped.where("ord = lead").select("ord", "sig")
     edges = checkpoint(similar_pairs(leads, threshold, num_perm, bands))
     state = greedy(edges.select("a", "b"))

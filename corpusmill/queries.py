@@ -199,19 +199,18 @@ def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signatures of the first of equal texts."""
-    first = exact.keep_first(normed(spark, sf_dir).select("doc_id", "text"))
-    return first.select(F.col("doc_id").alias("ord"), minhash.signature(F.col("text")).alias("sig"))
+    """Signatures of all documents."""
+    return normed(spark, sf_dir).select(F.col("doc_id").alias("ord"), minhash.signature(F.col("text")).alias("sig"))
 
 
 @query()
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.candidates(signed(spark, sf_dir))
+    return minhash.all_candidates(signed(spark, sf_dir))
 
 
 @query()
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.similar_pairs(signed(spark, sf_dir))
+    return minhash.all_similar_pairs(signed(spark, sf_dir))
 
 
 @query()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import queries
 from corpusmill.operators import exact, minhash
 
 
@@ -95,6 +96,20 @@ def test_greedy_equals_the_sequential_rule(spark, seed, threshold):
         assert got == expected
 
 
+def test_pair_queries_cover_every_document(spark, tmp_path):
+    texts = corpus(40, 4)
+    texts += [texts[0], texts[0].upper(), texts[0], texts[5] + "!", texts[7], "", "", "short", "Short"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    a, b = minhash.permutations(128)
+    sigs = [minhash.sign(t, a, b) for t in texts]
+    shared = {(i, j): float((sigs[i] == sigs[j]).mean()) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (sigs[i] == sigs[j]).reshape(32, 4).all(axis=1).any()}
+    assert {(0, 40), (0, 41), (40, 42), (45, 46), (47, 48)} <= set(shared) and len(set(shared.values())) > 3
+    assert sorted((r.a, r.b) for r in queries.lsh_candidates(spark, str(tmp_path)).collect()) == sorted(shared)
+    got = sorted((r.a, r.b, r.similarity) for r in queries.near_dup_pairs(spark, str(tmp_path)).collect())
+    assert got == sorted((*k, s) for k, s in shared.items() if s >= 0.8)
+
+
 def test_chain_keeps_what_no_kept_row_matches(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert {r.k: r.kept for r in minhash.greedy(edges).collect()} == {1: True, 2: False, 3: True, 4: False}
