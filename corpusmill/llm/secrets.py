@@ -6,6 +6,9 @@ scans a text. What matches is validated: by the checksum that the secret carries
 hosting and package tokens, Luhn for card numbers, the header of a web token), or, for
 secrets without one, by the variety of its characters. Invalid matches are not reported.
 
+An assigned value has six characters at least, as fewer can't be varied enough. So that prose and code stay,
+a quoted one under 12 characters needs one that is no letter, and an unquoted one under 24 a letter and a digit.
+
 Defined results: null and empty texts have no findings; texts are scanned whole; overlapping
 matches are one finding, that of the longest match, and of the first detector among equals; repeated rows are each reported; null ids are passed through; an empty
 table has no findings; ``redact`` keeps other columns as they are, whatever their names.
@@ -77,6 +80,9 @@ class Detector(NamedTuple):
     before: str = r"(?<![0-9A-Za-z_])"
 
 
+#: Names, or beginnings of names, of what a secret is assigned to.
+ASSIGNED = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey")
+
 DETECTORS = (
     Detector("code_host_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z_])", crc_ok),
     Detector("package_token", ("npm_",), r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z_])", crc_ok),
@@ -89,8 +95,8 @@ DETECTORS = (
     Detector("private_key", ("-----BEGIN ",), r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?", always, ""),
     Detector(
         "assigned_secret",
-        ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key"),
-        r"""(?i:token|secret|password|passwd|api_key|apikey|api-key|access_key)["']?\s{0,4}(?:=|:|:=|=>)\s{0,4}(?:"(?P<secret>[^\s"]{12,256})"|'(?P<secret>[^\s']{12,256})'|(?P<secret>[0-9A-Fa-f]{32,256}|[0-9A-Za-z+/_-]{24,256}={0,2})(?![0-9A-Za-z+/_-]))""",
+        ASSIGNED,
+        rf"""(?i:{"|".join(ASSIGNED)})s?(?:[A-Z0-9_-][0-9A-Za-z_-]{{0,31}})?["']?\s{{0,4}}(?:=|:|:=|=>)\s{{0,4}}(?:"(?P<secret>[^\s"]{{12,256}}|(?=[A-Za-z]*[^\sA-Za-z"])[^\s"]{{6,11}})"|'(?P<secret>[^\s']{{12,256}}|(?=[A-Za-z]*[^\sA-Za-z'])[^\s']{{6,11}})'|(?P<secret>[0-9A-Fa-f]{{32,256}}|[0-9A-Za-z+/_-]{{24,256}}={{0,2}}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[0-9A-Za-z+/_-]{{6,23}}={{0,2}})(?![0-9A-Za-z+/_-]))""",
         varied,
         "(?<![0-9A-Za-z])",
     ),

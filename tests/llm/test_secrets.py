@@ -88,3 +88,17 @@ def test_edges(spark, edges, nothing):
     assert X.find_secrets(nothing).count() == 0 and X.redact(nothing).count() == 0
     twice = spark.createDataFrame([(None, 'token = "0123456789abcdef0"')] * 2, "doc_id long, text string")
     assert X.find_secrets(twice).count() == 2
+
+
+def test_names_and_short_values_of_assignments():
+    found = {
+        'SECRET_KEY = "a1b2c3d4e5f6g7"': "a1b2c3d4e5f6g7", 'token_key: "0123456789abcdef"': "0123456789abcdef", "secretKey: 'a1b2c3d4e5f6g7'": "a1b2c3d4e5f6g7",
+        "private_key=a1b2c3d4e5f6g7": "a1b2c3d4e5f6g7", "passphrase: 'open-5esame'": "open-5esame", "DB_PWD=hunter42x": "hunter42x",
+        "password=Tr0ub4dor-and-3x": "Tr0ub4dor-and-3x", 'password = "s3cr3t!x"': "s3cr3t!x",
+    }
+    for text, secret in found.items():
+        hits = X.Scanner().scan(f"x {text} y", f"x {text} y".lower())
+        assert [f"x {text} y"[f.start : f.end] for f in hits] == [secret], text
+        assert [tuple(f) for f in hits] == brute(f"x {text} y")
+    for text in ("the password: something new", 'tokenizer = "bert-base-uncased"', "token = get_token()", 'password: "required"', "pwd=aaaaaaaa1", "secret: 12345678"):
+        assert not X.Scanner().scan(text, text.lower()), text
