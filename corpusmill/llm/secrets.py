@@ -80,6 +80,8 @@ class Detector(NamedTuple):
     before: str = r"(?<![0-9A-Za-z_])"
 
 
+#: What follows a key's BEGIN line if the END line is missing: its fields, lines of base 64, and a short last line or the text's end within one.
+CUT_KEY = r"(?:(?:\s+|(?:\\r)?\\n)(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*)*(?:(?:\s+|(?:\\r)?\\n)[0-9A-Za-z+/]{16,}={0,2}(?![0-9A-Za-z+/=]))*(?:(?:\s*\n\s*|(?:\\r)?\\n)[0-9A-Za-z+/]+={0,2}(?=\s*\Z)|(?<=[0-9A-Za-z+/]{40})(?:\s*\n\s*|(?:\\r)?\\n)[0-9A-Za-z+/]+={0,2}(?=[^\S\n]*(?:\n|\\n|[\"'])))?"
 #: Names, or beginnings of names, of what a secret is assigned to.
 ASSIGNED = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey")
 
@@ -92,7 +94,7 @@ DETECTORS = (
     Detector("payment_key", ("sk_live_", "rk_live_", "sk_test_"), r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}", varied),
     Detector("git_token", ("glpat-",), r"glpat-[0-9A-Za-z_-]{20,}", varied),
     Detector("web_token", ("eyJ",), r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]*", header_ok),
-    Detector("private_key", ("-----BEGIN ",), r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?", always, ""),
+    Detector("private_key", ("-----BEGIN ",), r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----|" + CUT_KEY + ")", always, ""),
     Detector(
         "assigned_secret",
         ASSIGNED,

@@ -102,3 +102,15 @@ def test_names_and_short_values_of_assignments():
         assert [tuple(f) for f in hits] == brute(f"x {text} y")
     for text in ("the password: something new", 'tokenizer = "bert-base-uncased"', "token = get_token()", 'password: "required"', "pwd=aaaaaaaa1", "secret: 12345678"):
         assert not X.Scanner().scan(text, text.lower()), text
+
+
+def test_private_key_without_its_end():
+    draw = random.Random(3)
+    lines = ["".join(draw.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(4)]
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    for body, after in (
+        ("\n" + "\n".join(lines), "\n\nThen the text goes on."), ("\r\n" + "\r\n".join([*lines, "c2hvcnQ="]), "\r\nand on"), ("\n" + "\n".join([*lines, "Yw"]), ""), ("\nMIIEv", ""),
+        ("\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n" + "\n".join(lines), "\n"), ("\\n" + "\\n".join(lines), '\\n"}'), ("", "\nno key here"),
+    ):
+        text = f"see {head}{body}{after}"
+        assert [tuple(f) for f in X.Scanner().scan(text, text.lower())] == [(4, 4 + len(head + body), "private_key")] == brute(text), (body, after)
