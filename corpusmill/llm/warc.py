@@ -10,8 +10,9 @@ complete, so that a repeated or doubled task does no harm.
 Paths are read and written through ``pyarrow.fs``, so they may be on any shared file system that it knows.
 
 Defined results: an empty stream has no records and an empty index; of a stream that is broken off
-or isn't a WARC, the complete records are kept, the last row of its index table says in ``error`` what
-was wrong, and nothing is lost silently; streams that have several members already
+or isn't a WARC, the complete records are kept, a row of its index table says in ``error`` what
+was wrong, and nothing is lost silently; after a record with a bad header, reading goes on at the next record;
+headers may be of any length; streams that have several members already
 are read alike; records may be empty or very long and repeat each other; names of header
 fields are taken in any case. In ``pack``, null addresses have no address field, null bodies are empty
 records, null ids are written as ``null``; an empty table gives no files; other columns are not looked at.
@@ -36,8 +37,8 @@ from corpusmill.llm.common import as_type, checkpoint, scratch_path
 
 CHUNK = 1 << 20
 LEVEL = 6
-#: A record's header may take so many bytes; more means that the stream isn't a WARC.
-MOST_HEADER = 1 << 20
+#: How each record begins.
+MARK = b"WARC/"
 INDEX_SCHEMA = "file string, record int, offset long, length long, type string, record_id string, uri string, payload_bytes long, payload_sha1 string, error string"
 
 
@@ -87,30 +88,44 @@ class Inflated:
             yield piece
 
     def header(self) -> bytes | None:
-        """Up to and with the next empty line; None at the end."""
+        """Up to and with the next empty line, however far that is; None at the end. Raises if no record begins here."""
         at = 0
         while True:
             while self.buffer[:2] == b"\r\n":  # between records
                 del self.buffer[:2]
                 at = 0
+            if len(self.buffer) >= len(MARK) and not self.buffer.startswith(MARK):
+                raise ValueError("not a WARC record")
             end = self.buffer.find(b"\r\n\r\n", max(0, at - 3))
             if end >= 0:
                 head = bytes(self.buffer[: end + 4])
                 del self.buffer[: end + 4]
                 return head
             at = len(self.buffer)
-            if at > MOST_HEADER:
-                raise ValueError("no record header")
             if not self.more():
                 if self.buffer.strip():
                     raise EOFError("the stream ends within a header")
                 return None
 
+    def skip(self) -> bool:
+        """Goes on to where the next record seems to begin, behind an empty line; False if there is none."""
+        while len(self.buffer) < len(MARK) and self.more():
+            pass
+        if self.buffer.startswith(MARK):
+            return True
+        mark = b"\r\n\r\n" + MARK
+        while (at := self.buffer.find(mark)) < 0:
+            del self.buffer[: -len(mark)]
+            if not self.more():
+                return False
+        del self.buffer[: at + 4]
+        return True
+
 
 def fields(head: bytes) -> dict[str, str]:
     """A record header's fields, by lower-case name; of repeated ones the last."""
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    if not first.startswith("WARC/"):
+    if not first.startswith(MARK.decode()):
         raise ValueError("not a WARC record")
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines if line)}
 
@@ -127,6 +142,8 @@ def rewrite(source: BinaryIO, target: BinaryIO, name: str, level: int = LEVEL) -
                 return
             known = fields(head)
             size = int(known["content-length"])
+            if size < 0:
+                raise ValueError("negative content length")
             deflater, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1()
             member.append(deflater.compress(head))
             for piece in stream.take(size):
@@ -135,6 +152,12 @@ def rewrite(source: BinaryIO, target: BinaryIO, name: str, level: int = LEVEL) -
             member += [deflater.compress(b"\r\n\r\n"), deflater.flush()]
         except (EOFError, ValueError, KeyError, zlib.error) as e:
             yield {"file": name, "record": number, **blank, "error": f"{type(e).__name__}: {e}"}
+            number += 1
+            try:
+                if not isinstance(e, (EOFError, zlib.error)) and stream.skip():
+                    continue
+            except (EOFError, zlib.error) as broken:
+                yield {"file": name, "record": number, **blank, "error": f"{type(broken).__name__}: {broken}"}
             return
         # only compressed bytes of one record are held, so that a broken one leaves nothing behind
         length = 0

@@ -80,3 +80,15 @@ def test_edges(spark, tmp_path):
     got = W.normalised_pages(pages, f"file://{tmp_path}/out").collect()
     assert sorted(map(repr, ((r.page_id, r.uri, r.payload_bytes) for r in got))) == sorted(map(repr, [(1, "http://a/%0D%0AX: 1", 3), (1, "http://a/%0D%0AX: 1", 3), (2, None, 0), (None, "", 0), (3, "u", 1_000_000)]))
     assert W.normalised_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_long_header_and_bad_record_lose_no_other(spark, tmp_path):
+    long = "http://x/" + "a" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", "one"), (2, long, "two"), (3, "v", "three")], "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.uri, r.payload_bytes, r.error) for r in W.normalised_pages(pages, f"file://{tmp_path}/out").collect())
+    assert got == [(1, "u", 3, None), (2, long, 3, None), (3, "v", 5, None)]
+    first, last = archive([b"one"]), archive([b"two", b"three"])
+    for bad in (b"WARC/1.0\r\nX: 1\r\n\r\nbody\r\n\r\n", b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n", b"WARC/1.0\r\nContent-Length: -4\r\n\r\nbody\r\n\r\n", b"junk" * 1_000_000 + b"\r\n\r\n"):
+        rows, out = run(gzip.compress(first + bad + last))
+        assert [r["payload_bytes"] for r in rows] == [3, None, 3, 5] and [r["record"] for r in rows] == [0, 1, 2, 3]
+        assert rows[1]["error"] and gzip.decompress(out) == first + last
