@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured."""
+    """The cluster's shared folder. Where none is configured, a temporary one, and only if all tasks run on this machine."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         path = tempfile.mkdtemp(prefix="corpusmill-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
     if not sc.getCheckpointDir():

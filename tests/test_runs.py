@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import pytest
-from conftest import ROOT
+from paths import ROOT
 from test_quality import GOOD
 
 from corpusmill import cli
