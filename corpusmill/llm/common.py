@@ -7,17 +7,17 @@ another one is lost.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from corpusmill.storage import checkpoint, checkpoint_dir  # noqa: F401  operators take both from here
 
 #: Text bytes that one numpy step works on; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
@@ -25,24 +25,6 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpusmill-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(path)
-    return path
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once, to the shared folder, and cuts its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -52,30 +34,23 @@ def as_type(df: DataFrame, name: str, dtype: str) -> Column:
     return F.col(f"`{name}`").cast(dtype)
 
 
-def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    return rows * row_bytes <= limit
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): ids of whatever type they are, texts as strings."""
+    return docs.select(F.col(f"`{id_col}`").alias("id"), as_type(docs, text_col, "string").alias("text"))
+
 
+def with_id(rows: DataFrame, rest: str) -> StructType:
+    """A schema of the id, of the type that it has in ``rows``, and of ``rest``."""
+    return StructType([StructField("id", rows.schema["id"].dataType), *StructType.fromDDL(rest).fields])
 
-def hint_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` if its counted rows fit, else leave the join to shuffle. Count a materialised df."""
-    return F.broadcast(df) if fits_broadcast(df.count(), row_bytes, limit) else df
 
+def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
+    return rows * row_bytes <= limit
 
-def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row for each id that isn't null, that of the smallest text (a null is smallest).
 
-    Only the id column is read to look for repeated ids; only rows that have one are shuffled.
-    """
-    key = as_type(docs, id_col, "long")
-    repeated = checkpoint(docs.select(key.alias("__id")).where("__id IS NOT NULL").groupBy("__id").count().where("count > 1").select("__id"))
-    count = repeated.count()
-    if not count:
-        return docs
-    side = F.broadcast(repeated) if fits_broadcast(count, 16) else repeated
-    order = Window.partitionBy("__key").orderBy(F.col(f"`{text_col}`").asc_nulls_first(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    some = docs.join(side, key == F.col("__id"), "left_semi").withColumn("__key", key)
-    first = some.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place", "__key")
-    return docs.join(side, key == F.col("__id"), "left_anti").unionByName(first)
+def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df``, of a counted number of rows, broadcast if that fits; else the join is left to shuffle."""
+    return F.broadcast(df) if fits_broadcast(rows, row_bytes) else df
 
 
 def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -132,20 +107,48 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 #: The same words as a regular expression over lower-case text, for small brute-force versions.
 WORD_PATTERN = "[0-9A-Za-z\x80-\x9f\xc0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+"
 _BASE = 0x9E3779B97F4A7C15
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 20
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers = tables[0], tables[1]
-    return _powers
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        table = np.full(n, base, np.uint64)
+        table[0] = 1
+        tables.append(np.cumprod(table, dtype=np.uint64))
+    return tables[0], tables[1]
+
+
+_UP, _DOWN = _power_tables(_BLOCK + 1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, in order and apart from each other: equal bytes have equal hashes, wherever they stand.
+
+    Spans are taken together in blocks of a fixed size, and a longer span by pieces, so memory is that of a block.
+    """
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        base = int(starts[k])
+        to = int(np.searchsorted(ends, ends.dtype.type(min(base + _BLOCK, int(ends[-1]))), side="right"))
+        if to <= k:
+            total = 0
+            for a in range(base, int(ends[k]), _BLOCK):
+                piece = data[a : min(a + _BLOCK, int(ends[k]))]
+                total += int(((piece + np.uint64(1)) * _UP[: len(piece)]).sum(dtype=np.uint64)) * pow(_BASE, a - base, 1 << 64)
+            out[k] = total % (1 << 64)
+            k += 1
+            continue
+        piece = data[base : int(ends[to - 1])]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece + np.uint64(1)) * _UP[: len(piece)], out=sums[1:])
+        first = starts[k:to] - base
+        out[k:to] = (sums[ends[k:to] - base] - sums[first]) * _DOWN[first]
+        k = to
+    return mix(out)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -156,13 +159,19 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _places(mask: np.ndarray) -> np.ndarray:
+    """Where ``mask`` is set, in the narrowest integers."""
+    kind = np.int32 if len(mask) < 1 << 31 else np.int64
+    return np.concatenate([np.zeros(0, kind), *((np.flatnonzero(mask[a : a + _BLOCK]) + a).astype(kind) for a in range(0, len(mask), _BLOCK))])
+
+
 class Words:
     """The lower-case words of a column of texts, found by a few numpy passes over its bytes.
 
     ``data`` holds the lower-case bytes, ``starts`` and ``ends`` the words' byte places in it,
     ``mask`` whether each byte is in a word, ``rows`` for each text the range of its words,
     ``bounds`` the range of its bytes. Null and
-    empty texts have no words. Lower-casing maps single characters to single characters, so
+    empty texts have no words. All of it takes about 6 bytes for each byte of text. Lower-casing maps single characters to single characters, so
     counted characters agree with the original text.
     """
 
@@ -174,11 +183,12 @@ class Words:
         data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None else np.zeros(0, np.uint8)
         self.data, self.bounds = data, bounds - bounds[0]
         mask = _WORD[data]
-        for lead, seconds, size in ((0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3), (0xC2, range(0xA0, 0xC0), 2)):
-            at = np.flatnonzero(data == lead)
-            at = at[np.isin(data[at + 1], list(seconds))]
-            for k in range(size):
-                mask[at + k] = False
+        for a in range(0, len(data), _BLOCK):
+            for lead, seconds, size in ((0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3), (0xC2, range(0xA0, 0xC0), 2)):
+                at = np.flatnonzero(data[a : a + _BLOCK] == lead) + a
+                at = at[np.isin(data[at + 1], list(seconds))]
+                for k in range(size):
+                    mask[at + k] = False
         self.mask = mask
         start, end = mask.copy(), mask.copy()
         start[1:] &= ~mask[:-1]
@@ -186,40 +196,13 @@ class Words:
         first = self.bounds[:-1][np.diff(self.bounds) > 0]
         start[first] = mask[first]
         end[first[1:] - 1] = mask[first[1:] - 1]
-        self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-        self.rows = np.searchsorted(self.starts, self.bounds)
+        self.starts, self.ends = _places(start), _places(end)
+        self.ends += 1
+        self.rows = np.searchsorted(self.starts, self.bounds.astype(self.starts.dtype))
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of every word."""
-        up, down = _power_tables(len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((self.data + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        return span_hashes(self.data, self.starts, self.ends)
 
     def row_of_word(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
-
-
-def shingle_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``n`` words of each text, flat, and each text's range of them.
-
-    A text of fewer words, but one at least, has one run of all its words.
-    """
-    h, counts = words.hashes(), np.diff(words.rows)
-    if not len(h):
-        return h, np.zeros(len(counts) + 1, np.int64)
-    total = h.copy()
-    for k in range(1, n):
-        total[: len(h) - k] = mix(total[: len(h) - k] * np.uint64(3) + h[k:], k)
-    row = words.row_of_word()
-    place = np.arange(len(h)) - words.rows[row]
-    keep = place + n <= counts[row]
-    for r in np.flatnonzero((counts > 0) & (counts < n)):
-        a, b = words.rows[r], words.rows[r + 1]
-        t = h[a : a + 1]
-        for k in range(a + 1, b):
-            t = mix(t * np.uint64(3) + h[k : k + 1], k - a)
-        total[a], keep[a] = t[0], True
-    ranges = np.concatenate([[0], np.cumsum(keep)])[words.rows]
-    return total[keep], ranges
+        return np.repeat(np.arange(len(self.rows) - 1, dtype=np.int32), np.diff(self.rows))

@@ -13,7 +13,7 @@ The forest is fitted on a bounded sample, ``FIT_ROWS`` good labelled rows with t
 hashes of their ids; statistics, scores and the threshold cover all rows.
 
 Defined results: a null or empty text, or one without words, has no statistics, scores 1 and is
-rejected; texts are read whole; repeated rows get equal verdicts; rows with null ids get a verdict
+rejected; texts are read whole; repeated rows get equal verdicts; ids may be of any type; rows with null ids get a verdict
 from their text but have no label; labels whose quality is null or whose document is missing are
 not used, an id's repeated labels count once each and a repeated label of both kinds counts
 as both; without labels of both kinds there is no threshold and only rows without statistics are rejected;
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Words, _power_tables, as_type, checkpoint, mix, slices
+from corpusmill.llm.common import Words, checkpoint, fits_broadcast, id_and_text, slices, span_hashes, with_id
 
 #: Good labelled rows that the forest is fitted on, at most.
 FIT_ROWS = 20_000
@@ -46,7 +46,9 @@ STATISTICS = ("upper_letters", "symbols_per_word", "odd_line_ends", "repeated_li
 #: Typical words that are added to every text before its shares are taken, so that a few words say little.
 PRIOR_WORDS = 40
 PRIOR_LINES = 2
-_SCHEMA = "id long, " + ", ".join(f"{s} double" for s in STATISTICS)
+_SCHEMA = ", ".join(f"{s} double" for s in STATISTICS)
+#: Bytes that are counted at once in a long text.
+_BLOCK = 1 << 20
 
 
 def _table(members: str) -> np.ndarray:
@@ -74,11 +76,13 @@ def statistics(column: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + rows + 1]
     raw, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    def total(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
-
     n, sizes = n[some], np.diff(offsets)[some]
-    count = {k: total(t[raw], offsets)[some] for k, t in (("upper", _UPPER), ("letter", _LETTER), ("symbol", _SYMBOL))}
+    tables = {"upper": _UPPER, "letter": _LETTER, "symbol": _SYMBOL}
+    if rows == 1:  # it may be very long
+        bytes_of = sum((np.bincount(raw[a : a + _BLOCK], minlength=256) for a in range(0, len(raw), _BLOCK)), np.zeros(256, np.int64))
+        count = {k: np.array([int(bytes_of @ t)]) for k, t in tables.items()}
+    else:
+        count = {k: np.diff(np.concatenate([[0], np.cumsum(t[raw])])[offsets])[some] for k, t in tables.items()}
     # lines: between line feeds, within a text, not blank
     newline = np.flatnonzero(raw == 10)
     begins = np.unique(np.concatenate([offsets[:-1], newline + 1]))
@@ -90,10 +94,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     line_row = np.searchsorted(offsets, begins, side="right") - 1
     lines = np.bincount(line_row, minlength=rows)
     odd = np.bincount(line_row, weights=1 - _END[raw[ends - 1]], minlength=rows)
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw + np.uint64(1)) * up[: len(raw)])])
-    line_hash = mix((sums[ends] - sums[begins]) * down[begins])
-    repeated_line = _repeated(line_row, line_hash, ends - begins, rows)
+    repeated_line = _repeated(line_row, span_hashes(raw, begins, ends), ends - begins, rows)
     word_row, hashes = words.row_of_word(), words.hashes()
     near = np.zeros(len(hashes), bool)
     for gap in (1, 2, 3):  # the same word again within a few words
@@ -105,7 +106,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             np.minimum(count["symbol"] / smooth, 4),
             odd[some] / (lines[some] + PRIOR_LINES),
             repeated_line[some] / (sizes + PRIOR_WORDS * chars_per_word),
-            total(near, words.rows)[some] / smooth,
+            np.diff(np.concatenate([[0], np.cumsum(near)])[words.rows])[some] / smooth,
         ],
         axis=1,
     )
@@ -197,63 +198,86 @@ def threshold(good: np.ndarray, bad: np.ndarray, rejected: float = GOOD_REJECTED
     return float(best.mean() // 1) / len(good)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, Forest | None, float]:
-    """The table (id, statistics), in the shared folder; the forest, if any row is labelled good; the threshold."""
-    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
+def measure(rows: DataFrame) -> DataFrame:
+    """(id, statistics, ...) of rows (id, text, ...)."""
+    rest = [f for f in rows.schema.fields if f.name not in ("id", "text")]
+    rows = rows.select("id", "text", *(f.name for f in rest))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
                 s = statistics(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k]) for k in range(s.shape[1]))], ["id", *STATISTICS])
-
-    table = checkpoint(rows.mapInArrow(measure, _SCHEMA))
-    marks = labels.select(as_type(labels, id_col, "long").alias("id"), as_type(labels, label_col, "long").alias("mark")).where("id IS NOT NULL AND mark IS NOT NULL")
-    labelled = checkpoint(table.join(marks, "id"))
-    good_rows = labelled.where("mark > 0 AND NOT isnan(upper_letters)").orderBy(F.xxhash64("id"), "id", *STATISTICS).limit(FIT_ROWS).select(*STATISTICS).toArrow()
-    if not good_rows.num_rows:
-        return table, None, 1.0
-    forest = Forest(np.stack([c.to_numpy() for c in good_rows.columns], axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, k]) for k in range(s.shape[1])), *batch.columns[2:]], ["id", *STATISTICS, *(f.name for f in rest)])
+
+    return rows.mapInArrow(run, with_id(rows, ", ".join([_SCHEMA, *(f"{f.name} {f.dataType.simpleString()}" for f in rest)])))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[Forest | None, float]:
+    """The forest, if any row is labelled good, and the threshold. Only labelled rows are measured, if their ids can be broadcast to the documents."""
+    mark = F.col(f"`{label_col}`").cast("long")
+    marks = labels.select(F.col(f"`{id_col}`").alias("id"), (mark > 0).alias("good")).where("id IS NOT NULL AND good IS NOT NULL")
+    marks = checkpoint(marks.groupBy("id", "good").agg(F.count("*").alias("weight")))
+    rows = id_and_text(docs, id_col, text_col)
+    if fits_broadcast(marks.count(), 64):
+        labelled = measure(rows.join(F.broadcast(marks), "id"))
+    else:  # statistics move rather than texts
+        labelled = checkpoint(measure(rows)).join(marks, "id")
+    labelled = checkpoint(labelled)
+    # a row that is labelled several times, or of both kinds, is one row to fit on for each good label; the first of them are enough
+    some = labelled.where("good AND NOT isnan(upper_letters)").orderBy(F.xxhash64("id"), "id", *STATISTICS).limit(FIT_ROWS).select("weight", *STATISTICS).toArrow()
+    if not some.num_rows:
+        return None, 1.0
+    times = np.minimum(some.column(0).to_numpy(), FIT_ROWS)
+    data = np.stack([c.to_numpy() for c in some.columns[1:]], axis=1)
+    forest = Forest(np.repeat(data, times, axis=0)[:FIT_ROWS])
     cell = F.least(F.lit(CELLS - 1), F.floor(F.col("score") * CELLS)).cast("int")
-    counts = _scored(labelled, forest).groupBy((F.col("mark") > 0).alias("good"), cell.alias("cell")).count().collect()
+    counts = _scored(labelled, forest).groupBy("good", cell.alias("cell")).agg(F.sum("weight").alias("n")).collect()
     good, bad = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
     for r in counts:  # at most two rows a cell
-        (good if r["good"] else bad)[r["cell"]] = r["count"]
-    return table, forest, threshold(good, bad)
+        (good if r["good"] else bad)[r["cell"]] = r["n"]
+    return forest, threshold(good, bad)
 
 
 def _scored(table: DataFrame, forest: Forest) -> DataFrame:
-    """(id, statistics, ...) with the score in the statistics' place. The forest's size is bounded by its parameters."""
-    shared, rest = table.sparkSession.sparkContext.broadcast(forest), table.columns[1 + len(STATISTICS) :]
+    """(id, score, ...) of rows (id, statistics, ...). The forest's size is bounded by its parameters."""
+    shared, at = table.sparkSession.sparkContext.broadcast(forest), 1 + len(STATISTICS)
+    rest = table.schema.fields[at:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.score(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 1 + len(STATISTICS))], axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[1 + len(STATISTICS) :]], ["id", "score", *rest])
+            s = shared.value.score(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, at)], axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *batch.columns[at:]], ["id", "score", *(f.name for f in rest)])
 
-    return table.mapInArrow(run, "id long, score double" + "".join(f", {c} long" for c in rest))
+    return table.mapInArrow(run, with_id(table, ", ".join(["score double", *(f"{f.name} {f.dataType.simpleString()}" for f in rest)])))
+
+
+def _scores(column: pa.Array, forest: Forest | None) -> np.ndarray:
+    s = statistics(column)
+    return np.isnan(s).any(axis=1) * 1.0 if forest is None else forest.score(s)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, score double, keep boolean) of every row."""
-    table, forest, limit = fit(docs, labels, id_col, text_col, label_col)
-    if forest is None:
-        scored = table.select("id", F.when(F.isnan("upper_letters"), 1.0).otherwise(0.0).alias("score"))
-    else:
-        scored = _scored(table, forest)
-    return scored.withColumn("keep", F.col("score") < limit).withColumnRenamed("id", id_col)
+    forest, limit = fit(docs, labels, id_col, text_col, label_col)
+    rows, shared = id_and_text(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                score = _scores(batch.column(1), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(score < limit)], ["id", "score", "keep"])
+
+    return rows.mapInArrow(run, with_id(rows, "score double, keep boolean")).withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows that aren't rejected, as they are. Once fitted, each row is judged where it is; nothing is joined or shuffled."""
-    _, forest, limit = fit(docs, labels, id_col, text_col, label_col)
+    forest, limit = fit(docs, labels, id_col, text_col, label_col)
     shared, at = docs.sparkSession.sparkContext.broadcast(forest), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, at):
-                s = statistics(batch.column(at))
-                score = np.isnan(s).any(axis=1) * 1.0 if shared.value is None else shared.value.score(s)
-                yield batch.filter(pa.array(score < limit))
+                yield batch.filter(pa.array(_scores(batch.column(at), shared.value) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -149,6 +149,49 @@ def test_parts_change_no_result(spark, small, monkeypatch):
     assert "p a1 a2 a3 a4  b5 b6 b7 b8 q" in {r.text for r in D.remove_leaks(given, bench).collect()}
 
 
+def by_id(df):
+    return sorted((str(r.doc_id), [tuple(s) for s in r.spans], r.item_ids) for r in df.collect())
+
+
+def test_stored_index_finds_what_a_search_on_the_spot_finds(spark, small, tmp_path, edges):
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    index = D.build_index(docs, f"{tmp_path}/index")
+    assert by_id(D.search_index(index, bench)) == by_id(D.find_leaks(docs, bench))
+    for items in (ITEMS, ITEMS[:1], []):  # other test sets on the same index
+        other = spark.createDataFrame(items, "item_id long, text string")
+        assert by_id(D.search_index(index, other)) == by_id(D.find_leaks(docs, other))
+    own = D.build_index(edges, f"{tmp_path}/edges")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert by_id(D.search_index(own, bench)) == by_id(D.find_leaks(edges, bench))
+    with pytest.raises(Exception, match="phrases of 8 words"):
+        D.search_index(own, bench, n=9).collect()
+
+
+def test_every_word_is_in_the_index():
+    w = D.Words(pa.array(["one two one", "", None, "three"]))
+    (_, shard), = D.shards_of(w.hashes(), w.row_of_word(), 8)
+    assert len(shard.vocabulary) == 3 and len(shard.index.bwt) == 6
+    assert (shard.index.bwt > 0).sum() == 4
+
+
+@pytest.mark.parametrize("size", [9, 20, 64])
+def test_a_long_text_is_several_shards(monkeypatch, size):
+    rng = np.random.default_rng(size)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, 300)), "é — " + " ".join(f"w{x}" for x in rng.integers(0, 3, 40)), ""]
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 6, int(rng.integers(3, 12))))) for k in range(200)]
+    phrases = D.Phrases(pa.table({"id": [k for k, _ in items], "text": [t for _, t in items]}), 4, 3)
+    expected = {k: b for k, t in enumerate(texts) if (b := brute(t, phrases_of(items, 4, 3)))[0]}
+    monkeypatch.setattr(D, "SHARD_WORDS", size)
+    assert D.find_in_column(pa.array(texts), lambda: [phrases], 4) == expected and len(expected[0][0]) > 1
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("ab12cd34ef56ab78", "x ONE,two—three four... five six y"), (None, "one two three four five six")], "doc_id string, text string")
+    bench = spark.createDataFrame([("q-1", "one two three four five six")], "item_id string, text string")
+    rows = D.find_leaks(docs, bench).collect()
+    assert sorted(map(repr, ((r.doc_id, r.item_ids) for r in rows))) == sorted(map(repr, [("ab12cd34ef56ab78", ["q-1"]), (None, ["q-1"])]))
+
+
 def test_words_are_cut_as_the_pattern_says():
     from corpusmill.llm.common import Words
 
