@@ -7,16 +7,18 @@ what the workers get is the table of each bucket's share in every class, a few m
 
 Confidences are calibrated on labelled documents that were not trained on: a temperature fits the
 softmax to their labels, and a document is rejected if its confidence is lower than that of all
-but ``REJECTED`` of those which were rightly named.
+but ``REJECTED`` of those which were rightly named. Without any such document nothing is accepted.
 
-The sample is bounded: the ``FIT_ROWS`` labelled rows with the smallest hashes of their ids,
-of which every fifth is held out. Their whole texts are used, cut into pieces of up to ``PIECE_WORDS``
-words for training, so that short texts are learnt too.
+The sample is bounded in rows and in bytes: the ``FIT_ROWS`` labelled ids with the smallest hashes, of which every fifth is held
+out. Held-out texts are read whole, where they are, and only their logits are collected. Of each of the others,
+``ROW_PIECES`` pieces of up to ``PIECE_WORDS`` words and ``PIECE_CHARS`` characters are trained on, spread evenly over the
+text, so that short texts are learnt too.
 
 Defined results: null and empty texts, and texts without words, have no language, confidence 0
-and are rejected; texts are read whole; repeated rows get equal answers; ties go to the language first in
-order; null labels are not trained on, and without any label all rows are rejected; an empty table gives an
-empty table; null ids are passed through; other columns are not looked at.
+and are rejected; texts are read whole, long ones by pieces; repeated rows get equal answers; ties go to the language first in
+order; null labels are not trained on, rows of one labelled id count once, as the smallest text, and rows with
+null ids are one such row; without any label all rows are rejected, and with fewer than five ids none can be held out, so languages are
+named but none is accepted; an empty table gives an empty table; ids of any type, null ones too, are passed through; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Words, as_type, slices
+from corpusmill.llm.common import Words, as_type, id_and_text, slices, with_id
 
 #: Labelled rows that are trained on or held out, at most.
 FIT_ROWS = 4_000
@@ -37,10 +39,16 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
 PIECE_WORDS = 32
+PIECE_CHARS = 512
+ROW_PIECES = 6
 EPOCHS = 2
-RATE = 0.5
+#: Of the linear layer; embeddings, of which a piece moves many a little, have a larger one.
+RATE = 6.0
+EMBEDDING_RATE = 64
+#: Pieces of one step of gradient descent.
+STEP_PIECES = 64
 #: Share of rightly named held-out documents whose confidence may fall below the limit.
-REJECTED = 0.001
+REJECTED = 0.002
 #: Bytes that one numpy step works on.
 _STEP = 1 << 20
 
@@ -51,10 +59,14 @@ def subwords(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     Every text is led by one space, and the last also followed by some.
     """
     words = Words(column)
-    data = np.where(words.mask, words.data, np.uint8(32))
-    stream = np.concatenate([np.insert(data, words.bounds, 32), np.full(4, 32, np.uint8)]).astype(np.uint32)
+    stream = np.concatenate([np.insert(np.where(words.mask, words.data, np.uint8(32)), words.bounds, 32), np.full(4, 32, np.uint8)])
+    return _buckets(stream, len(stream) - 4), words.bounds[:-1] + np.arange(len(words.bounds) - 1)
+
+
+def _buckets(stream: np.ndarray, n: int) -> list[np.ndarray]:
+    """The buckets at the first ``n`` bytes of a stream of words between spaces, with three bytes after them."""
+    stream = stream.astype(np.uint32)
     gap = stream == 32
-    n = len(data) + len(words.bounds)
     out = []
     for size in SIZES:
         code = np.zeros(n, np.uint32)
@@ -70,7 +82,7 @@ def subwords(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         code >>= np.uint32(16)
         code[~inside] = BUCKETS
         out.append(code.astype(np.intp))
-    return out, words.bounds[:-1] + np.arange(len(words.bounds) - 1)
+    return out
 
 
 class Model(NamedTuple):
@@ -78,19 +90,28 @@ class Model(NamedTuple):
     #: (buckets + 1) x languages: what one occurrence adds before averaging; the last row is none.
     table: np.ndarray
     temperature: float = 1.0
-    limit: float = 0.0
+    #: Least confidence that is accepted; above 1, none is.
+    limit: float = 2.0
 
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """rows x languages, and whether a row has any subword."""
-        buckets, starts = subwords(texts)
-        total = np.zeros((len(starts), len(self.languages)))
-        count = np.zeros(len(starts), np.int64)
-        if len(starts):
-            columns = np.ascontiguousarray(self.table.T)
-            for b in buckets:
+        words = Words(texts)
+        bounds = words.bounds + np.arange(len(words.bounds))  # of the texts in the stream, each led by a space
+        stream = np.insert(words.data, words.bounds, 32)
+        stream[np.insert(~words.mask, words.bounds, True)] = 32
+        stream = np.concatenate([stream, np.full(4, 32, np.uint8)])
+        rows = len(bounds) - 1
+        total, count = np.zeros((rows, len(self.languages))), np.zeros(rows, np.int64)
+        columns = np.ascontiguousarray(self.table.T)
+        for a in range(0, int(bounds[-1]) if rows else 0, _STEP):
+            b = min(a + _STEP, int(bounds[-1]))
+            first = int(np.searchsorted(bounds, a, side="right")) - 1
+            last = int(np.searchsorted(bounds, b, side="left"))
+            starts = np.maximum(bounds[first:last] - a, 0)
+            for bucket in _buckets(stream[a : b + 4], b - a):
                 for k, column in enumerate(columns):
-                    total[:, k] += np.add.reduceat(column.take(b), starts)
-                count += np.add.reduceat(b < BUCKETS, starts, dtype=np.int64)
+                    total[first:last, k] += np.add.reduceat(column.take(bucket), starts)
+                count[first:last] += np.add.reduceat(bucket < BUCKETS, starts, dtype=np.int64)
         return total / np.maximum(count, 1)[:, None], count > 0
 
     def confidences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,85 +127,111 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True) if len(x) else x
 
 
-def _pieces(texts: list[str], rng: np.random.Generator) -> tuple[list[str], list[int]]:
-    out, row = [], []
-    for k, text in enumerate(texts):
-        words, at = text.split(), 0
-        while at < len(words):
-            size = int(rng.integers(3, PIECE_WORDS + 1))
-            out.append(" ".join(words[at : at + size]))
-            row.append(k)
-            at += size
-    return out, row
+def pieces(text: str) -> list[str]:
+    """Up to ``ROW_PIECES`` pieces of a text, of changing sizes, that begin at places spread evenly over it."""
+    out, many = [], len(text) > ROW_PIECES * PIECE_CHARS
+    for k in range(ROW_PIECES):
+        at = k * len(text) // ROW_PIECES
+        part = text[at : at + (PIECE_CHARS if many else max(1, len(text) // ROW_PIECES) + 64)].split()
+        # the first word may have been cut in two
+        part = part[1:] if at and len(part) > 1 else part
+        size = 3 + (k * 7 + len(text)) % (PIECE_WORDS - 2)
+        if part:
+            out.append(" ".join(part[:size]))
+    return out
 
 
 def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
-    """The model, calibrated on every fifth row, which is not trained on."""
+    """A model of pieces of text, not calibrated yet: gradient descent in steps of ``STEP_PIECES`` pieces."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
-    held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 25 else np.zeros(len(texts), bool)
-    pieces, row = _pieces([t for t, h in zip(texts, held) if not h], rng)
-    target = y[~held][row]
-    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    weight = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
+    target = np.searchsorted(languages, labels)
+    buckets, starts = subwords(pa.array(texts, pa.string()))
+    flat = np.stack(buckets, axis=1)  # a row a byte, so a text's subwords stand together
+    ends = np.r_[starts[1:], len(flat)]
+    own = [x[x < BUCKETS] for x in (flat[a:b].ravel() for a, b in zip(starts, ends))]
+    some = np.array([k for k, x in enumerate(own) if len(x)], np.int64)
+    embedding = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    weight = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     met = np.zeros(BUCKETS, bool)
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(pieces))
-        for a in range(0, len(order), 2048):
-            part = order[a : a + 2048]
-            buckets, starts = subwords(pa.array([pieces[i] for i in part], pa.string()))
-            ends = np.r_[starts[1:], len(buckets[0])]
-            rate = RATE * (1 - (epoch * len(order) + a) / (EPOCHS * len(order)))
-            for i, s, e in zip(part, starts, ends):
-                b = np.concatenate([x[s:e] for x in buckets])
-                b = b[b < BUCKETS]
-                if not len(b):
-                    continue
-                b, count = np.unique(b, return_counts=True)
-                met[b] = True
-                share = count / count.sum()
-                hidden = share @ embedding[b]
-                p = softmax((hidden @ weight)[None])[0]
-                p[target[i]] -= 1
-                back = weight @ p
-                weight -= rate * np.outer(hidden, p)
-                embedding[b] -= (rate * len(b)) * share[:, None] * back / max(1.0, len(b) * (share**2).sum() * 4)
+    for k in some:
+        met[own[k]] = True
+    steps, done = EPOCHS * -(-len(some) // STEP_PIECES), 0
+    for _ in range(EPOCHS):
+        order = rng.permutation(some)
+        for a in range(0, len(order), STEP_PIECES):
+            part = order[a : a + STEP_PIECES]
+            sizes = np.array([len(own[k]) for k in part])
+            b = np.concatenate([own[k] for k in part])
+            begin = np.r_[0, np.cumsum(sizes)[:-1]]
+            hidden = np.add.reduceat(embedding[b], begin, axis=0) / sizes[:, None].astype(np.float32)
+            p = softmax(hidden @ weight)
+            p[np.arange(len(part)), target[part]] -= 1
+            rate = np.float32(RATE * (1 - done / steps) / len(part))
+            # the same bucket in several places gets the sum of their gradients
+            places, which = np.unique(b, return_inverse=True)
+            share = np.repeat(p / sizes[:, None], sizes, axis=0)
+            step = np.stack([np.bincount(which, weights=share[:, k], minlength=len(places)) for k in range(len(languages))], axis=1) @ weight.T
+            weight -= rate * (hidden.T @ p)
+            embedding[places] -= (rate * EMBEDDING_RATE * step).astype(np.float32)
+            done += 1
     # a bucket that training never met says nothing; with no bias either, a text of such buckets is equally likely in all languages
     table = np.concatenate([np.where(met[:, None], embedding @ weight, 0.0), np.zeros((1, len(languages)))]).astype(np.float32)
-    model = Model(languages, table)
-    return calibrate(model, [t for t, h in zip(texts, held) if h], y[held]) if held.any() else model
+    return Model(languages, table)
 
 
-def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
-    logits, some = model.logits(pa.array(texts, pa.string()))
-    logits, y = logits[some], y[some]
-    if not len(y):
-        return model
+def calibrate(model: Model, logits: np.ndarray, y: np.ndarray) -> Model:
+    """With the temperature and the limit that logits of held-out rows and their languages' numbers (-1: none of the model's) call for."""
     grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
-    model = model._replace(temperature=float(grid[int(np.argmin(loss))]))
+    known = np.flatnonzero(y >= 0)
+    if len(known):
+        loss = [-np.log(np.maximum(softmax(logits[known] / t)[np.arange(len(known)), y[known]], 1e-12)).mean() for t in grid]
+        model = model._replace(temperature=float(grid[int(np.argmin(loss))]))
     p = softmax(logits / model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
+    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y]) if len(y) else np.zeros(0)
     return model._replace(limit=float(right[int(REJECTED * len(right))])) if len(right) else model
 
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
-    """Trains on a bounded sample, which is all that comes to the driver. The smallest hashes make it the same each time."""
-    key = F.xxhash64(as_type(labelled, id_col, "long"), F.lit("language"))
-    rows = labelled.select(as_type(labelled, id_col, "long").alias("id"), as_type(labelled, text_col, "string").alias("text"), as_type(labelled, lang_col, "string").alias("lang"), key.alias("h"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
-    limit = rows.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
-    if limit is None:
+    """Trains on a bounded sample: pieces of its texts, and logits of the held-out ones, are all that comes to the driver."""
+    lang = as_type(labelled, lang_col, "string").alias("lang")
+    rows = labelled.select(F.col(f"`{id_col}`").alias("id"), as_type(labelled, text_col, "string").alias("text"), lang).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.select(F.xxhash64("id", F.lit("language")).alias("h"), "text", "lang")
+    hashes = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(FIT_ROWS).collect()]
+    if not hashes:
+        return None
+    held = F.broadcast(labelled.sparkSession.createDataFrame([(h, k % 5 == 4) for k, h in enumerate(hashes)], "h long, held boolean"))
+    sample = rows.join(held, "h").groupBy("h", "held").agg(F.min(F.struct("text", "lang")).alias("r")).select("held", "r.text", "r.lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in pieces(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.string())], ["text", "lang"])
+
+    parts = sample.where("NOT held").select("text", "lang").mapInArrow(cut, "text string, lang string").orderBy("lang", "text").toArrow()
+    if not parts.num_rows:
         return None
-    sample = rows.where(F.col("h") <= limit).orderBy("h", "id", "text").limit(FIT_ROWS).select("text", "lang").toArrow()
-    return train(sample.column(0).to_pylist(), sample.column(1).to_pylist())
+    model = train(parts.column(0).to_pylist(), parts.column(1).to_pylist())
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0, _STEP):
+                logits, some = shared.value.logits(batch.column(0))
+                keep = np.flatnonzero(some)
+                yield pa.RecordBatch.from_arrays([pa.array(logits[keep].tolist(), pa.list_(pa.float64())), batch.column(1).take(pa.array(keep))], ["logits", "lang"])
+
+    tried = sample.where("held").select("text", "lang").mapInArrow(measure, "logits array<double>, lang string").toArrow()
+    if not tried.num_rows:
+        return model
+    number = {name: k for k, name in enumerate(model.languages)}
+    return calibrate(model, np.array(tried.column(0).to_pylist()), np.array([number.get(x, -1) for x in tried.column(1).to_pylist()]))
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, language string, confidence double, accepted boolean) of every row; trained on ``labelled``, or else on ``docs``."""
     model = fit(docs if labelled is None else labelled, id_col, text_col, lang_col)
-    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +246,4 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "
                 language = pa.array([names[k] if ok else None for k, ok in zip(best, known)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0), language, pa.array(p), pa.array(known & (p >= (m.limit if m else 1)))], ["id", "language", "confidence", "accepted"])
 
-    return rows.mapInArrow(run, "id long, language string, confidence double, accepted boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, with_id(rows, "language string, confidence double, accepted boolean")).withColumnRenamed("id", id_col)

@@ -7,17 +7,23 @@ hosting and package tokens, Luhn for card numbers, the header of a web token), o
 secrets without one, by the variety of its characters. Invalid matches are not reported.
 
 An assigned value has six characters at least, as fewer can't be varied enough. So that prose and code stay,
-a quoted one under 12 characters needs one that is no letter, and an unquoted one under 24 a letter and a digit.
+a quoted one under 12 characters needs one that is no letter, and an unquoted one under 24 a letter and a digit. No
+secret has a greatest length but those whose format fixes it; between the keyword and the sign of an assignment, a name may go on
+for 32 characters.
+
+A text is passed over once: the lines that end private keys are found by the same automaton, and overlaps
+are told on a map of the characters taken, so the work grows with the text and not with the square of its findings.
 
 Defined results: null and empty texts have no findings; texts are scanned whole; overlapping
-matches are one finding, that of the longest match, and of the first detector among equals; repeated rows are each reported; null ids are passed through; an empty
-table has no findings; ``redact`` keeps other columns as they are, whatever their names.
+matches are one finding, that of the longest match, and of the first detector among equals; repeated rows are each reported; ids of any
+type, null ones too, are passed through; an empty table has no findings; ``redact`` keeps other columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import math
 import string
@@ -32,7 +38,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.common import as_type, replace_texts, slices
+from corpusmill.llm.common import id_and_text, replace_texts, slices, with_id
 
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
@@ -78,10 +84,13 @@ class Detector(NamedTuple):
     valid: Callable[[str], bool]
     #: Characters that mustn't stand right before the keyword.
     before: str = r"(?<![0-9A-Za-z_])"
+    #: If the pattern is a head, all up to the first end, or else a rest: these three, for one pass over a text.
+    parts: tuple[str, str, str] | None = None
 
 
 #: What follows a key's BEGIN line if the END line is missing: its fields, lines of base 64, and a short last line or the text's end within one.
 CUT_KEY = r"(?:(?:\s+|(?:\\r)?\\n)(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n]*)*(?:(?:\s+|(?:\\r)?\\n)[0-9A-Za-z+/]{16,}={0,2}(?![0-9A-Za-z+/=]))*(?:(?:\s*\n\s*|(?:\\r)?\\n)[0-9A-Za-z+/]+={0,2}(?=\s*\Z)|(?<=[0-9A-Za-z+/]{40})(?:\s*\n\s*|(?:\\r)?\\n)[0-9A-Za-z+/]+={0,2}(?=[^\S\n]*(?:\n|\\n|[\"'])))?"
+KEY_HEAD, KEY_END = (f"-----{side} (?:[A-Z]+ ){{0,3}}PRIVATE KEY-----" for side in ("BEGIN", "END"))
 #: Names, or beginnings of names, of what a secret is assigned to.
 ASSIGNED = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "accesskey", "private_key", "private-key", "privatekey")
 
@@ -90,15 +99,15 @@ DETECTORS = (
     Detector("package_token", ("npm_",), r"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z_])", crc_ok),
     Detector("cloud_access_key", ("AKIA", "ASIA"), r"A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])", varied),
     Detector("web_api_key", ("AIza",), r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])", varied),
-    Detector("chat_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), r"xox[abprs]-[0-9A-Za-z-]{10,250}", varied),
-    Detector("payment_key", ("sk_live_", "rk_live_", "sk_test_"), r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,99}", varied),
-    Detector("git_token", ("glpat-",), r"glpat-[0-9A-Za-z_-]{20,}", varied),
-    Detector("web_token", ("eyJ",), r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]*", header_ok),
-    Detector("private_key", ("-----BEGIN ",), r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----|" + CUT_KEY + ")", always, ""),
+    Detector("chat_token", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"), r"xox[abprs]-[0-9A-Za-z-]{10,}+", varied),
+    Detector("payment_key", ("sk_live_", "rk_live_", "sk_test_"), r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+", varied),
+    Detector("git_token", ("glpat-",), r"glpat-[0-9A-Za-z_-]{20,}+", varied),
+    Detector("web_token", ("eyJ",), r"eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]*+", header_ok),
+    Detector("private_key", ("-----BEGIN ",), f"{KEY_HEAD}(?:[\\s\\S]*?{KEY_END}|{CUT_KEY})", always, "", (KEY_HEAD, KEY_END, CUT_KEY)),
     Detector(
         "assigned_secret",
         ASSIGNED,
-        rf"""(?i:{"|".join(ASSIGNED)})s?(?:[A-Z0-9_-][0-9A-Za-z_-]{{0,31}})?["']?\s{{0,4}}(?:=|:|:=|=>)\s{{0,4}}(?:"(?P<secret>[^\s"]{{12,256}}|(?=[A-Za-z]*[^\sA-Za-z"])[^\s"]{{6,11}})"|'(?P<secret>[^\s']{{12,256}}|(?=[A-Za-z]*[^\sA-Za-z'])[^\s']{{6,11}})'|(?P<secret>[0-9A-Fa-f]{{32,256}}|[0-9A-Za-z+/_-]{{24,256}}={{0,2}}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[0-9A-Za-z+/_-]{{6,23}}={{0,2}})(?![0-9A-Za-z+/_-]))""",
+        rf"""(?i:{"|".join(ASSIGNED)})s?(?:[A-Z0-9_-][0-9A-Za-z_-]{{0,31}})?["']?\s{{0,4}}(?:=|:|:=|=>)\s{{0,4}}(?:"(?P<secret>[^\s"]{{12,}}+|(?=[A-Za-z]*[^\sA-Za-z"])[^\s"]{{6,11}})"|'(?P<secret>[^\s']{{12,}}+|(?=[A-Za-z]*[^\sA-Za-z'])[^\s']{{6,11}})'|(?P<secret>[0-9A-Za-z+/_-]{{24,}}+={{0,2}}|(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[0-9A-Za-z+/_-]{{6,23}}={{0,2}})(?![0-9A-Za-z+/_-]))""",
         varied,
         "(?<![0-9A-Za-z])",
     ),
@@ -112,35 +121,65 @@ class Finding(NamedTuple):
     detector: str
 
 
+#: How lines begin that end what a detector's head has begun.
+END_KEYWORD = "-----END "
+
+
 class Scanner:
     def __init__(self, detectors: tuple[Detector, ...] = DETECTORS):
         self.detectors = detectors
         self.patterns = [regex.compile(d.before + d.pattern) for d in detectors]
+        # the three parts of a pattern that isn't tried as a whole
+        self.parts = {k: tuple(regex.compile(p) for p in (d.before + d.parts[0], d.parts[1], d.parts[2])) for k, d in enumerate(detectors) if d.parts}
         self.automaton = ahocorasick.Automaton()
-        owners: dict[str, list[tuple[int, int]]] = {}
+        owners: dict[str, list[tuple[int, int, bool]]] = {}
         for k, d in enumerate(detectors):
             for word in d.keywords:
-                owners.setdefault(word.lower(), []).append((k, len(word)))
+                owners.setdefault(word.lower(), []).append((k, len(word), False))
+            if d.parts:
+                owners.setdefault(END_KEYWORD.lower(), []).append((k, len(END_KEYWORD), True))
         for word, those in owners.items():
             self.automaton.add_word(word, those)
         self.automaton.make_automaton()
 
     def scan(self, text: str, lower: str) -> list[Finding]:
         """``lower`` is the text with ASCII letters in lower case, of the same length."""
-        found = []
+        found, heads, ends = [], [], {}
         for end, those in self.automaton.iter(lower):
-            for k, size in those:
-                m = self.patterns[k].match(text, end + 1 - size)
-                if m:
+            for k, size, closes in those:
+                at = end + 1 - size
+                if closes:
+                    if m := self.parts[k][1].match(text, at):
+                        ends.setdefault(k, []).append(m.span())
+                elif k in self.parts:
+                    if m := self.parts[k][0].match(text, at):
+                        heads.append((k, at, m.end()))
+                elif m := self.patterns[k].match(text, at):
                     group = "secret" if "secret" in m.re.groupindex else 0
                     if self.detectors[k].valid(m.group(group)):
                         found.append((*m.span(group), k))
-        found.sort(key=lambda f: (f[0] - f[1], f[2], f[0]))  # the longest first
-        kept: list[Finding] = []
-        for start, stop, k in found:
-            if all(stop <= f.start or start >= f.end for f in kept):
-                kept.append(Finding(start, stop, self.detectors[k].name))
-        return sorted(kept)
+        for k, at, after in heads:
+            closing = ends.get(k, [])
+            place = bisect.bisect_left(closing, (after, 0))
+            stop = closing[place][1] if place < len(closing) else self.parts[k][2].match(text, after).end()
+            found.append((at, stop, k))
+        if len(found) > 1:
+            found = self.longest(found)
+        return sorted(Finding(start, stop, self.detectors[k].name) for start, stop, k in found)
+
+    @staticmethod
+    def longest(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Of overlapping ones, the longest; of equally long ones, the first detector's, then the first."""
+        found.sort(key=lambda f: (f[0] - f[1], f[2], f[0]))
+        base = min(f[0] for f in found)
+        taken, kept = bytearray(max(f[1] for f in found) - base), []
+        for f in found:
+            # what was taken before is no shorter, so if it overlaps, it holds one of the two ends
+            a, b = f[0] - base, f[1] - base
+            if not taken[a] and not taken[b - 1]:
+                taken[a:b] = b"\1" * (b - a)
+                kept.append(f)
+        return kept
 
 
 def find_in_column(scanner: Scanner, column: pa.Array) -> dict[int, list[Finding]]:
@@ -156,7 +195,7 @@ def find_in_column(scanner: Scanner, column: pa.Array) -> dict[int, list[Finding
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, detector, start int, end int) of every secret, in characters, end exclusive; the secrets themselves aren't told."""
-    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -174,7 +213,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         ["id", "detector", "start", "end"],
                     )
 
-    return rows.mapInArrow(run, "id long, detector string, start int, end int").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, with_id(rows, "detector string, start int, end int")).withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

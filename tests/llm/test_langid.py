@@ -75,3 +75,73 @@ def test_edges(edges, nothing, answers):
     assert L.identify(nothing, docs).count() == 0
     assert not any(r.accepted or r.language for r in L.identify(edges, nothing).collect())
     assert L.identify(edges).count() == len(ROWS)
+
+
+def rows_of(n, draw):
+    kinds = {"en": "the house of the river and the people who were there with it", "fr": "la maison de la rivière et les gens qui étaient là avec elle", "de": "das haus am fluss und die leute die dort mit ihm waren"}
+    return [(k, " ".join(draw.choices(kinds[x].split(), k=20)), x) for k in range(n) for x in [list(kinds)[k % 3]]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 12, 24, 30])
+def test_few_labels(spark, n):
+    """With a held-out row that is rightly named there is a limit; without one nothing is accepted."""
+    import random
+
+    docs = spark.createDataFrame(rows_of(n, random.Random(n)), "doc_id long, text string, lang string")
+    found = L.identify(docs).collect()
+    assert len(found) == n and all(r.language in ("en", "fr", "de") for r in found)
+    model = L.fit(docs, "doc_id", "text", "lang")
+    assert any(r.accepted for r in found) == (model.limit <= 1)
+    if n < 5:
+        assert model.limit > 1
+    if n >= 24:
+        assert sum(r.accepted for r in found) > n / 2
+
+
+def test_limit_rejects_the_share_asked_for():
+    rng = np.random.default_rng(0)
+    logits, y = rng.normal(0, 1, (5000, 3)), np.zeros(5000, np.int64)
+    logits[:, 0] += 4
+    model = L.calibrate(L.Model(["a", "b", "c"], np.zeros((1, 3))), logits, y)
+    p = L.softmax(logits / model.temperature)
+    right = p.max(axis=1)[p.argmax(axis=1) == 0]
+    assert (right < model.limit).sum() == int(L.REJECTED * len(right)) > 0
+
+
+def test_the_query_over_its_whole_table(spark, tiny):
+    """Against one text after the other, with the plain sum over its subwords."""
+    from corpusmill.llm.queries import op8_language_id
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = L.fit(docs, "doc_id", "text", "lang")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op8_language_id(spark, tiny).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        buckets, _ = L.subwords(pa.array([texts[r.doc_id]]))
+        b = np.concatenate([x[x < L.BUCKETS] for x in buckets])
+        p = L.softmax(model.table[b].astype(float).mean(axis=0)[None] / model.temperature)[0] if len(b) else np.zeros(1)
+        assert np.isclose(r.confidence, p.max(), atol=1e-5) and (not len(b) or p[model.languages.index(r.language)] >= p.max() - 1e-5)
+        if abs(p.max() - model.limit) > 1e-5:
+            assert r.accepted == (len(b) > 0 and p.max() >= model.limit)
+
+
+def test_windows_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = L.Model(["a", "b"], np.concatenate([rng.normal(0, 1, (L.BUCKETS, 2)), np.zeros((1, 2))]).astype(np.float32))
+    texts = pa.array(["été à l’île " * 40, None, "", "x", "drei vier fünf " * 30, "!!", "漢字 kana"])
+    whole = model.logits(texts)
+    for step in (1, 7, 64, 400):
+        monkeypatch.setattr(L, "_STEP", step)
+        for a, b in zip(model.logits(texts), whole):
+            assert np.allclose(a, b, atol=1e-4)
+
+
+def test_ids_of_any_type_and_repeated_labels(spark):
+    import random
+
+    rows = [(f"id-{k}", t, x) for k, t, x in rows_of(40, random.Random(3))]
+    docs = spark.createDataFrame([*rows, *[rows[0]] * 5, (None, "the people", "en"), ("z", None, "en"), ("y", "the house", None)], "doc_id string, text string, lang string")
+    found = L.identify(docs).collect()
+    assert len(found) == 48 and {r.doc_id for r in found} == {r[0] for r in rows} | {None, "z", "y"}
+    assert next(r for r in found if r.doc_id == "z").accepted is False

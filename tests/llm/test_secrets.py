@@ -114,3 +114,50 @@ def test_private_key_without_its_end():
     ):
         text = f"see {head}{body}{after}"
         assert [tuple(f) for f in X.Scanner().scan(text, text.lower())] == [(4, 4 + len(head + body), "private_key")] == brute(text), (body, after)
+
+
+def scan(text):
+    return [tuple(f) for f in X.Scanner().scan(text, "".join(c.lower() if c.isascii() else c for c in text))]
+
+
+def test_secrets_of_any_length():
+    draw = random.Random(4)
+    alnum = string.ascii_letters + string.digits
+    for n in (300, 10_000):
+        body = "".join(draw.choices(alnum, k=n))
+        for head, tail, name in (
+            ('token = "', '"', "assigned_secret"), ("secret: '", "'", "assigned_secret"), ("api_key=", " z", "assigned_secret"), ("see xoxb-", " z", "chat_token"), ("see sk_live_", " z", "payment_key"),
+            ("see glpat-", " z", "git_token"),
+        ):
+            text = head + body + tail
+            (start, stop, found), = scan(text)
+            assert found == name and stop == len(head) + n and text[start:stop].endswith(body)
+        assert scan('token = "' + "".join(draw.choices("0123456789abcdef", k=n)) + '"')[0][1] == 9 + n
+
+
+def test_work_grows_with_the_text():
+    import time
+
+    draw, took = random.Random(5), []
+    parts = ['token = "' + "".join(draw.choices("0123456789abcdef", k=20)) + '"\n' for _ in range(32_000)]
+    keys = "-----BEGIN PRIVATE KEY-----\nabc\n"
+    for n in (4_000, 32_000):
+        text = "".join(parts[:n]) + keys * n
+        began = time.perf_counter()
+        found = scan(text)
+        took.append(time.perf_counter() - began)
+        assert len(found) >= 1.99 * n  # a few values are too little varied
+    assert took[1] < 8 * took[0] * 4
+
+
+def test_keys_that_end_and_keys_that_do_not_agree_with_the_whole_pattern():
+    draw = random.Random(6)
+    pieces = ["-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\n", "\n" + "aB3/" * 16 + "\n", " words ", "-----END CERTIFICATE-----", "-----BEGIN ", "\nq8=\n"]
+    for _ in range(300):
+        text = "".join(draw.choices(pieces, k=8))
+        assert scan(text) == brute(text), text
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("ab12cd34ef56ab78", 'token = "0123456789abcdef0"'), (None, "none")], "doc_id string, text string")
+    assert [(r.doc_id, r.start) for r in X.find_secrets(docs).collect()] == [("ab12cd34ef56ab78", 9)]
