@@ -27,9 +27,9 @@ def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
-def with_index(docs: DataFrame, order_col: str) -> DataFrame:
-    """Adds ``idx``: 0, 1, 2, ... in the order of ``order_col``. The counts, one for each partition, go to the driver."""
-    placed = checkpoint(docs.repartitionByRange(order_col).sortWithinPartitions(order_col).select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"), *(F.col(f"`{c}`") for c in docs.columns)))
+def with_index(docs: DataFrame, *order: str) -> DataFrame:
+    """Adds ``idx``: 0, 1, 2, ... in the order of some columns. The counts, one for each partition, go to the driver."""
+    placed = checkpoint(docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"), *(F.col(f"`{c}`") for c in docs.columns)))
     counts = sorted((r["_p"], r["n"], r["first"]) for r in placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("first")).collect())
     if not counts:
         return placed.withColumn("idx", F.lit(0).cast("long")).drop("_p", "_m")
@@ -37,6 +37,7 @@ def with_index(docs: DataFrame, order_col: str) -> DataFrame:
     for p, n, first in counts:
         starts.append((p, total - first))
         total += n
+    # a row for each partition of the sort
     table = docs.sparkSession.createDataFrame(starts, "_p int, _shift long")
     return placed.join(F.broadcast(table), "_p").withColumn("idx", F.col("_m") + F.col("_shift")).drop("_p", "_m", "_shift")
 
