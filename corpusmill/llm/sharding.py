@@ -6,11 +6,12 @@ are placed in ring order, and those that find a shard full continue clockwise to
 
 Since keys come in ring order, what a shard takes depends on the number of keys on each arc
 alone. So the keys are counted by arc, where they are, the arcs are shared out by walking round the ring
-once, and only keys of arcs that are split between shards are ranked, by hash, to see on which side of the cut they
-fall; all others read their shard off a table of the arcs, whose size is fixed by the ring.
+once, and only keys of arcs that are split between shards are numbered, in ring order, to see on which side of the cut they
+fall; all others read their shard off a table of the arcs, whose size is fixed by the ring. The numbering
+spreads rows of one key over tasks, so a key that a third of all rows have is no more work than others.
 
-Defined results: the bound holds for all inputs, ties included; a null key hashes like the text "null";
-repeated keys have equal hashes, so they are placed next to each other, each counting as one
+Defined results: the bound holds for all inputs, ties included; keys may be of any type that has an order and hash as their text; a null
+key hashes like the text "null"; repeated keys have equal hashes, so they are placed next to each other, each counting as one
 load; an empty table gives an empty table; other columns are not looked at.
 """
 
@@ -20,10 +21,11 @@ import bisect
 import hashlib
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_type
+from corpusmill.llm.common import small_side
+from corpusmill.sources.shards import with_index
 
 SHARDS = 64
 POINTS = 128
@@ -91,12 +93,12 @@ def assign(keys: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, points
     bits = max(1, math.ceil(math.log2(len(places))) + 2)
     shift = 60 - bits
     cells = [bisect.bisect_left(places, c << shift) for c in range(1 << bits)]
-    rows = keys.select(as_type(keys, id_col, "long").alias("id")).withColumn("place", place_column(F.col("id")))
+    rows = keys.select(F.col(f"`{id_col}`").alias("id")).withColumn("place", place_column(F.col("id")))
     cell_rows = []
     for c, a in enumerate(cells):
         b = cells[c + 1] if c + 1 < len(cells) else len(places)
         cell_rows.append((c, a, places[a:b]))
-    table = F.broadcast(spark.createDataFrame(cell_rows, "cell long, first_arc int, cuts array<long>"))
+    table = small_side(spark.createDataFrame(cell_rows, "cell long, first_arc int, cuts array<long>"), len(cell_rows), 48)
     arc = (F.col("first_arc") + F.size(F.filter("cuts", lambda x: x < F.col("place")))) % len(places)
     located = rows.join(table, F.shiftright("place", shift) == F.col("cell")).select("id", "place", arc.cast("int").alias("arc"))
     counted = {r["arc"]: r["count"] for r in located.groupBy("arc").count().collect()}  # at most one row an arc
@@ -106,19 +108,20 @@ def assign(keys: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, points
     capacity = math.ceil((1 + slack) * total / shards)
     shares = share_out([counted.get(k, 0) for k in range(len(places))], owners, capacity)
     whole = [(k, s[0][0]) for k, s in enumerate(shares) if len(s) == 1]
-    split = []
+    split, below = [], 0
     for k, s in enumerate(shares):
         if len(s) > 1:
-            below = 0
             for shard, size in s:
                 split.append((k, shard, below, below + size))
                 below += size
-    one = F.broadcast(spark.createDataFrame(whole, "arc int, shard int"))
+    one = small_side(spark.createDataFrame(whole, "arc int, shard int"), len(whole), 16)
     out = located.join(one, "arc").select("id", "shard")
     if split:
-        cuts = F.broadcast(spark.createDataFrame(split, "arc int, shard int, low long, high long"))
-        arcs = F.broadcast(spark.createDataFrame([(k,) for k in sorted({x[0] for x in split})], "arc int"))
-        ranked = located.join(arcs, "arc", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("place", "id")) - 1)
-        parts = ranked.join(cuts, (ranked["arc"] == cuts["arc"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+        cuts = small_side(spark.createDataFrame(split, "arc int, shard int, low long, high long"), len(split), 32)
+        arcs = sorted({x[0] for x in split})
+        arcs = small_side(spark.createDataFrame([(k,) for k in arcs], "arc int"), len(arcs), 8)
+        # numbered over all split arcs in turn; the last column spreads equal keys
+        ranked = with_index(located.join(arcs, "arc", "left_semi").withColumn("row", F.monotonically_increasing_id()), "arc", "place", "id", "row")
+        parts = ranked.join(cuts, "arc").where((F.col("idx") >= F.col("low")) & (F.col("idx") < F.col("high")))
         out = out.unionByName(parts.select("id", "shard"))
     return out.withColumnRenamed("id", id_col)

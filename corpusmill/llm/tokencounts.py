@@ -54,22 +54,25 @@ def every_limit(counts: DataFrame) -> DataFrame:
 
 
 def at_limits(counts: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, documents_within, documents_over, truncated_tokens) for any limits, in the histogram or not."""
-    asked = counts.sparkSession.createDataFrame([(int(x),) for x in sorted(set(limits))], "context_limit long")
-    fits = F.col("n_tokens") <= F.col("context_limit")
-    sums = [
-        F.sum(F.when(fits, F.col("documents"))).alias("documents_within"),
-        F.sum(F.when(~fits, F.col("documents"))).alias("documents_over"),
-        F.sum(F.least("n_tokens", "context_limit") * F.col("documents")).alias("truncated_tokens"),
-    ]
-    # the limits asked for are a list in the driver
-    found = counts.crossJoin(F.broadcast(asked)).groupBy("context_limit").agg(*sums)
-    return asked.join(found, "context_limit", "left").na.fill(0)
+    """(context_limit, documents_within, documents_over, truncated_tokens) for any limits, in the histogram or not.
+
+    Limits are put between the histogram's lengths, and the running sums are read off there.
+    """
+    asked = counts.sparkSession.createDataFrame([(int(x), 0, True) for x in sorted(set(limits))], "n_tokens long, documents long, asked boolean")
+    rows = asked.unionByName(counts.select("n_tokens", "documents", F.lit(False).alias("asked")))
+    # one partition, as above; a limit comes after the length that equals it
+    within, whole = Window.orderBy("n_tokens", "asked").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    tokens = F.col("n_tokens") * F.col("documents") * F.when(F.col("asked"), 0).otherwise(1)
+    sums = rows.select("n_tokens", "asked", F.sum("documents").over(within).alias("documents_within"), F.sum(tokens).over(within).alias("__tokens"), F.sum("documents").over(whole).alias("__all"))
+    over = F.col("__all") - F.col("documents_within")
+    return sums.where("asked").select(F.col("n_tokens").alias("context_limit"), "documents_within", over.alias("documents_over"), (F.col("__tokens") + F.col("n_tokens") * over).alias("truncated_tokens"))
 
 
 def quantiles(counts: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, n_tokens): the smallest length that at least this share of the documents don't exceed."""
-    asked = counts.sparkSession.createDataFrame([(float(x),) for x in sorted(set(shares))], "share double")
-    known = every_limit(counts).select("context_limit", "quantile")
-    found = known.crossJoin(F.broadcast(asked)).where("quantile >= share").groupBy("share").agg(F.min("context_limit").alias("n_tokens"))
-    return asked.join(found, "share", "left")
+    """(share, n_tokens): the smallest length that at least this share of the documents don't exceed; null if there are none."""
+    asked = counts.sparkSession.createDataFrame([(float(x), None) for x in sorted(set(shares))], "share double, n_tokens long")
+    known = every_limit(counts).select(F.col("quantile").alias("share"), F.col("context_limit").alias("n_tokens"))
+    rows = asked.withColumn("asked", F.lit(True)).unionByName(known.withColumn("asked", F.lit(False)))
+    # from the largest share down, a length before a share that equals it: the last length met is the smallest that is enough
+    downwards = Window.orderBy(F.desc("share"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("share", "asked", F.min("n_tokens").over(downwards).alias("n_tokens")).where("asked").select("share", "n_tokens")

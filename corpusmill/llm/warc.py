@@ -4,7 +4,7 @@ A monolithic stream can only be read from its start. ``normalise`` inflates it o
 piece, finds the records by their content lengths, deflates each into a member of its own, and
 writes beside the new file a sidecar index with a line for each record: offset, length, type, id
 and address. From then on any record is one ranged read. A file is one task's work and is never held in
-memory, nor is a record; files go to a temporary name first and are renamed when they are
+memory; of a record, its compressed bytes are, so that a broken one leaves nothing behind; files go to a temporary name first and are renamed when they are
 complete, so that a repeated or doubled task does no harm.
 
 Paths are read and written through ``pyarrow.fs``, so they may be on any shared file system that it knows.
@@ -14,8 +14,9 @@ or isn't a WARC, the complete records are kept, a row of its index table says in
 was wrong, and nothing is lost silently; after a record with a bad header, reading goes on at the next record;
 headers may be of any length; streams that have several members already
 are read alike; records may be empty or very long and repeat each other; names of header
-fields are taken in any case. In ``pack``, null addresses have no address field, null bodies are empty
-records, null ids are written as ``null``; an empty table gives no files; other columns are not looked at.
+fields are taken in any case; different files of one name would overwrite each other, so they are an error. In ``pack``, null
+addresses have no address field, null bodies are empty records, ids of any type are written as text and null ones not at all; an
+empty table gives no files; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -206,9 +207,12 @@ def read_record(path: str, offset: int, length: int) -> tuple[dict[str, str], by
 def normalise(paths: DataFrame, folder: str, path_col: str = "path") -> DataFrame:
     """Normalises every file named in ``paths`` into ``folder``; returns the rows of all the indexes.
 
-    Files with the same name must not be given twice. The index table is computed once and kept in the shared folder.
+    Different files of the same name are an error. The index table is computed once and kept in the shared folder.
     """
-    names = paths.select(as_type(paths, path_col, "string").alias("path")).where("path IS NOT NULL").distinct()
+    names = checkpoint(paths.select(as_type(paths, path_col, "string").alias("path")).where("path IS NOT NULL").distinct())
+    clash = names.groupBy(F.substring_index("path", "/", -1).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n > 1").orderBy("name").first()
+    if clash:
+        raise ValueError(f"{clash['n']} files are named {clash['name']}, {clash['path']} among them")
     schema = pa.schema([(f.split()[0], {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]]) for f in INDEX_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +258,7 @@ def pack(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
 
 def record_header(key: str | None, url: str | None, size: int) -> bytes:
-    lines = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:page:{'null' if key is None else key}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]
+    lines = ["WARC/1.0", "WARC-Type: resource", "WARC-Record-ID: <urn:page" + ("" if key is None else ":" + key.replace("\r", "%0D").replace("\n", "%0A")) + ">", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}"]
     if url is not None:
         lines.insert(2, "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
@@ -271,5 +275,7 @@ def normalised_pages(pages: DataFrame, folder: str | None = None, id_col: str =
     system, place = open_path(raw)
     if system.get_file_info(place).type == fs.FileType.Directory:
         system.delete_dir(place)
-    page = F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(.*)>$', 1) AS bigint)")
+    # as it was, but that line ends in ids of text stay escaped
+    known = F.when(F.startswith("record_id", F.lit("<urn:page:")), F.regexp_extract("record_id", "^<urn:page:(.*)>$", 1))
+    page = known.try_cast(pages.schema[id_col].dataType)
     return index.select(page.alias(id_col), "uri", "file", "record", "offset", "length", "type", "payload_bytes", "payload_sha1", "error")

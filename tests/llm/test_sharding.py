@@ -54,3 +54,11 @@ def test_little_moves_when_a_shard_is_added(spark):
     after = {r.doc_id: r.shard for r in R.assign(keys, shards=21, slack=0.25).collect()}
     moved = sum(before[k] != after[k] for k in before) / len(before)
     assert 0.02 < moved < 0.2
+
+
+def test_text_keys_and_a_key_of_a_third_of_all_rows(spark):
+    keys = [f"k{k}" for k in range(400)] + ["hot"] * 200 + [None] * 3
+    rows = R.assign(spark.createDataFrame([(k,) for k in keys], "doc_id string").repartition(6), shards=8, points=16, slack=0.05).collect()
+    expected, load = brute(keys, 8, 16, 0.05)
+    assert sorted(repr((r.doc_id, r.shard)) for r in rows) == expected and len({r.shard for r in rows if r.doc_id == "hot"}) > 1
+    assert max(Counter(r.shard for r in rows).values()) <= math.ceil(1.05 * len(keys) / 8)

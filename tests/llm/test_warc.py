@@ -92,3 +92,20 @@ def test_long_header_and_bad_record_lose_no_other(spark, tmp_path):
         rows, out = run(gzip.compress(first + bad + last))
         assert [r["payload_bytes"] for r in rows] == [3, None, 3, 5] and [r["record"] for r in rows] == [0, 1, 2, 3]
         assert rows[1]["error"] and gzip.decompress(out) == first + last
+
+
+def test_files_of_one_name_are_an_error(spark, tmp_path):
+    for k, folder in enumerate("ab"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.warc.gz").write_bytes(gzip.compress(archive([str(k).encode()])))
+    paths = [(f"{tmp_path}/{f}/same.warc.gz",) for f in "ab"]
+    with pytest.raises(ValueError, match="2 files are named same.warc.gz"):
+        W.normalise(spark.createDataFrame(paths, "path string"), f"file://{tmp_path}/out")
+    assert not (tmp_path / "out").exists()
+    assert W.normalise(spark.createDataFrame(paths[:1] * 2, "path string"), f"file://{tmp_path}/out").count() == 1
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    rows = [("ab12cd34ef56ab78", "u", "one"), (None, "u", "two"), ("null", "u", "three"), ("", "u", "four"), ("a>b", "u", "five")]
+    got = W.normalised_pages(spark.createDataFrame(rows, "page_id string, url string, html string"), f"file://{tmp_path}/out").collect()
+    assert sorted(map(repr, ((r.page_id, r.payload_bytes) for r in got))) == sorted(map(repr, ((i, len(b)) for i, _, b in rows)))
