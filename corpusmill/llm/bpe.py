@@ -11,15 +11,16 @@ Texts are first cut by the vocabulary's split pattern, as the reference encoders
 pieces' encodings are kept in a bounded table, since pieces recur.
 
 Defined results: a null text has null ids, a null count and a null decoding; an empty text has
-no ids; any text, of any length, is encoded whole; repeated rows give repeated results; an
-empty table gives an empty one; columns other than the id and the text are not looked at.
+no ids; any text, of any length, is encoded whole, a long one piece after piece; repeated rows give repeated results; an
+empty table gives an empty one; ids of any type, null ones too, are passed through; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_type, slices
+from corpusmill.llm.common import as_type, id_and_text, slices, with_id
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published split pattern of the rank files.
@@ -37,6 +38,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pieces whose encodings a worker keeps; others are encoded again each time.
 KEPT_PIECES = 500_000
 KEPT_PAIRS = 400_000
+#: Characters from which a text, and tokens from which its ids, are worked on in parts, so that no long list of objects is made.
+LONG = 1 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -113,14 +116,14 @@ class Encoder(dict):
             if token:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.pieces = regex.compile(PATTERN).findall
+        self.pieces, self.each_piece = regex.compile(PATTERN).findall, regex.compile(PATTERN).finditer
 
     def last_tokens(self, data: str) -> list[int]:
         """The unique last token of every prefix of ``data``, bytes as Latin-1; of the empty prefix, -2; if there is none, -1.
 
         The automaton reports the tokens that end at each place, the longest first.
         """
-        last, apart, done = [-1] * (len(data) + 1), self.apart, -1
+        last, apart, done = ([-1] if len(data) < LONG else array("i", [-1])) * (len(data) + 1), self.apart, -1
         last[0] = -2
         for end, (token, size) in self.automaton.iter(data):
             if end != done:
@@ -153,14 +156,27 @@ class Encoder(dict):
         return packed
 
     def encode_packed(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.pieces(text)))
+        if len(text) < LONG:
+            return b"".join(map(self.__getitem__, self.pieces(text)))
+        out = bytearray()
+        for some in batched(self.each_piece(text), 1 << 16):
+            out += b"".join([self[m.group()] for m in some])
+        return bytes(out)
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.encode_packed(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_array(self, ids: np.ndarray) -> str:
+        if len(ids) < LONG:
+            return self.decode(ids.tolist())
+        out = bytearray()
+        for a in range(0, len(ids), 1 << 16):
+            out += b"".join(map(self.tokens.__getitem__, ids[a : a + (1 << 16)].tolist()))
+        return out.decode("utf-8", "replace")
+
 
 def load(path: str = VOCABULARY) -> Encoder:
     tokens = load_ranks(path)
@@ -197,7 +213,7 @@ def _ids(encoder: Encoder, texts: list[str | None]) -> pa.ListArray:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens int, token_ids array<int>) of every row; no shuffle."""
     encoder = Shared(docs.sparkSession, vocabulary)
-    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
@@ -207,14 +223,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 ids = _ids(e, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids), ids], ["id", "n_tokens", "token_ids"])
 
-    out = rows.mapInArrow(run, "id long, n_tokens int, token_ids array<int>")
+    out = rows.mapInArrow(run, with_id(rows, "n_tokens int, token_ids array<int>"))
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, text) of every row of token ids; null ids have a null text. Bytes that aren't UTF-8 become U+FFFD."""
     encoder = Shared(encoded.sparkSession, vocabulary)
-    rows = encoded.select(as_type(encoded, id_col, "long").alias("id"), as_type(encoded, ids_col, "array<int>").alias("ids"))
+    rows = encoded.select(F.col(f"`{id_col}`").alias("id"), as_type(encoded, ids_col, "array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
@@ -224,7 +240,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids
                 texts = [None if ids is None else e.decode(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, with_id(rows, "text string")).withColumnRenamed("id", id_col)
 
 
 def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -245,7 +261,7 @@ def lengths(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULAR
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, n_tokens, token_ids, round_trip boolean): ``encode``, with whether decoding the emitted ids gives the text back."""
     encoder = Shared(docs.sparkSession, vocabulary)
-    rows = docs.select(as_type(docs, id_col, "long").alias("id"), as_type(docs, text_col, "string").alias("text"))
+    rows = id_and_text(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder()
@@ -254,7 +270,7 @@ def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 texts = batch.column(1).to_pylist()
                 ids = _ids(e, texts)
                 values, at = ids.values.to_numpy(), ids.offsets.to_pylist()
-                same = [None if t is None else e.decode(values[a:b].tolist()) == t for t, a, b in zip(texts, at, at[1:])]
+                same = [None if t is None else e.decode_array(values[a:b]) == t for t, a, b in zip(texts, at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids), ids, pa.array(same, pa.bool_())], ["id", "n_tokens", "token_ids", "round_trip"])
 
-    return rows.mapInArrow(run, "id long, n_tokens int, token_ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, with_id(rows, "n_tokens int, token_ids array<int>, round_trip boolean")).withColumnRenamed("id", id_col)

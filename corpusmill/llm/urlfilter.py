@@ -4,25 +4,30 @@ Rules are written as in public filter lists: ``||host^`` matches from a host lab
 is an end of the URL, ``*`` anything, ``^`` one separator or the end, ``@@`` begins an exception.
 A literal token is a whole run of letters and digits in a rule, one that the URL must
 have as a whole token too. Each rule waits under the token of its own that the fewest URLs of the
-corpus have, counted over all of them; a URL's tokens fetch their rules, and only those are
-tried as regular expressions. Rules without a literal token are tried on every URL.
+corpus have, counted over all of them; a URL's tokens fetch their rules from a table that every worker holds, and only those are
+tried as regular expressions, where the URL is: nothing is shuffled but the counts of the rules' tokens. Rules without a
+literal token are tried on every URL. If the rules are too large to broadcast at once, they are broadcast and tried in parts.
 
 A URL is blocked if some rule matches it and no exception does.
 
 Defined results: a null URL has no tokens, is matched by no rule and isn't blocked; an empty URL can only be
 matched by rules without tokens; URLs are matched whole, in lower case; repeated rows are each
 decided; equal rules count once; without rules nothing is blocked; an empty table gives an
-empty table; null ids are passed through; other columns are not looked at.
+empty table; ids of any type, null ones too, are passed through; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import as_type, fits_broadcast
+from corpusmill.llm.common import BROADCAST_BYTES, as_type, small_side, with_id
 
 RULES = (
     "||cheap-pills.example.com^",
@@ -80,35 +85,85 @@ def rule_table(rules: tuple[str, ...] = RULES) -> list[tuple[int, str, bool, str
     return rows
 
 
+class Index:
+    """Rules by the token that they wait under; regular expressions are made when they are first tried."""
+
+    def __init__(self, rules: list[tuple[int, str, bool, str, str | None]]):
+        self.rules, self.waiting = {}, {}
+        for number, rule, allow, pattern, key in rules:
+            self.rules[number] = (rule, allow, pattern)
+            self.waiting.setdefault(key, []).append(number)
+        self.made: dict[int, re.Pattern] = {}
+        self.tried = 0
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"made": {}}
+
+    def matches(self, url: str) -> list[int]:
+        """Numbers of the rules that match a URL in lower case."""
+        found = []
+        for token in {None, *TOKEN.findall(url)}:
+            for number in self.waiting.get(token, ()):
+                self.tried += 1
+                pattern = self.made.get(number) or self.made.setdefault(number, re.compile(self.rules[number][2]))
+                if pattern.search(url):
+                    found.append(number)
+        return found
+
+
+TOKEN = re.compile("[a-z0-9]+")
+
+
+def _parts(rules: list[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Rules in parts of about ``limit`` bytes; one part, if they are no more."""
+    part, size = [], 0
+    for rule in rules:
+        size += 256 + 4 * len(rule[1])
+        if part and size > limit:
+            yield part
+            part, size = [], 256 + 4 * len(rule[1])
+        part.append(rule)
+    yield part
+
+
 def filter_urls(pages: DataFrame, rules: tuple[str, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, url, blocked boolean, rules array<string>) of every row, with all rules that match, in their order."""
     spark = pages.sparkSession
     table = rule_table(rules)
-    urls = pages.select(as_type(pages, id_col, "long").alias("id"), as_type(pages, url_col, "string").alias("url"))
+    urls = pages.select(F.col(f"`{id_col}`").alias("id"), as_type(pages, url_col, "string").alias("url"))
     tokens = F.array_remove(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+")), "")
-    wanted = sorted({t for *_, own in table for t in own})
+    wanted, counts = sorted({t for *_, own in table for t in own}), Counter()
     if wanted:
         # the tokens of the rules bound this table, and its rows are what is collected
-        side = spark.createDataFrame([(t,) for t in wanted], "token string")
-        side = F.broadcast(side) if fits_broadcast(len(wanted), 64) else side
-        counted = urls.select(F.explode(tokens).alias("token")).join(side, "token", "left_semi").groupBy("token").count()
-        counts = {r["token"]: r["count"] for r in counted.collect()}
-    rows = [(k, rule, allow, pattern, min(own, key=lambda t: (counts.get(t, 0), t)) if own else None) for k, rule, allow, pattern, own in table]
-    known = spark.createDataFrame(rows, "number int, rule string, allow boolean, pattern string, key string")
-    known = F.broadcast(known) if fits_broadcast(len(rows), 512) else known
-    distinct = urls.where("url IS NOT NULL").select("url").distinct()
-    fetched = distinct.select("url", F.explode(tokens).alias("key")).join(known, "key").select("url", "number", "rule", "allow", "pattern")
-    if any(r[4] is None for r in rows):
-        fetched = fetched.unionByName(distinct.crossJoin(known.where("key IS NULL")).select("url", "number", "rule", "allow", "pattern"))
-    matched = fetched.where(F.expr("rlike(lower(url), pattern)")).groupBy("url").agg(
-        F.array_sort(F.collect_list(F.struct("number", "rule"))).getField("rule").alias("rules"),
-        (~F.bool_or("allow")).alias("blocked"),
-    )
-    none = F.array().cast("array<string>")
-    out = urls.join(matched, "url", "left").select("id", "url", F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("rules", none).alias("rules"))
+        side = small_side(spark.createDataFrame([(t,) for t in wanted], "token string"), len(wanted), 64)
+        counts.update({r["token"]: r["count"] for r in urls.select(F.explode(tokens).alias("token")).join(side, "token", "left_semi").groupBy("token").count().collect()})
+    known = [(k, rule, allow, pattern, min(own, key=lambda t: (counts[t], t)) if own else None) for k, rule, allow, pattern, own in table]
+    found = urls.select("id", "url", F.lower("url").alias("lower"), F.lit(None).cast("array<int>").alias("hits"))
+    for part in _parts(known, BROADCAST_BYTES):
+        found = found.mapInArrow(_matcher(spark.sparkContext.broadcast(Index(part))), with_id(found, "url string, lower string, hits array<int>"))
+    names = spark.sparkContext.broadcast([(rule, allow) for _, rule, allow, *_ in known])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[names.value[k] for k in h or ()] for h in batch.column(3).to_pylist()]
+            blocked = [bool(h) and not any(allow for _, allow in h) for h in hits]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocked, pa.bool_()), pa.array([[r for r, _ in h] for h in hits], pa.list_(pa.string()))], ["id", "url", "blocked", "rules"])
+
+    out = found.mapInArrow(decide, with_id(found, "url string, blocked boolean, rules array<string>"))
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
+def _matcher(index: Broadcast):
+    """Adds the rules of one part that match to a row's hits; parts come in the order of their rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(h or []) + (sorted(index.value.matches(u)) if u is not None else []) for u, h in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hits, pa.list_(pa.int32()))], ["id", "url", "lower", "hits"])
+
+    return run
+
+
 def oracle_sql(rules: tuple[str, ...] = RULES) -> str:
     """DuckDB SQL that tries every rule on every URL."""
     text = lambda s: "'" + s.replace("'", "''") + "'"

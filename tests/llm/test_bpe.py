@@ -1,3 +1,4 @@
+import numpy as np
 import tiktoken
 from conftest_rows import LONG, ROWS
 from hypothesis import given, settings
@@ -27,6 +28,21 @@ def test_one_piece_without_end():
         assert ENCODER.encode(text) == REFERENCE.encode_ordinary(text)
 
 
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    texts = ["Some words, 12 of them — and more…\n" * 400, "a" * 3_000, "x y" * 700, ""]
+    monkeypatch.setattr(bpe, "LONG", 100)
+    for text in texts:
+        ids = ENCODER.encode(text)
+        assert ids == REFERENCE.encode_ordinary(text) and ENCODER.decode_array(np.array(ids, np.int32)) == text
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("ab12cd34ef56ab78", "one two"), (None, "three")], "doc_id string, text string")
+    encoded = bpe.encode(docs)
+    assert sorted(map(str, (r.doc_id for r in encoded.collect()))) == ["None", "ab12cd34ef56ab78"]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in bpe.decode(encoded).collect()))) == sorted(map(repr, [("ab12cd34ef56ab78", "one two"), (None, "three")]))
+
+
 def test_rows(spark, edges):
     rows = bpe.encode_and_decode(edges).collect()
     expected = sorted((repr((r[0], None if r[1] is None else REFERENCE.encode_ordinary(r[1])))) for r in ROWS)

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 
@@ -50,3 +51,42 @@ def test_edges(spark):
         rows = U.filter_urls(pages, chosen).collect()
         assert sorted(map(repr, ((r.page_id, r.url, r.blocked, r.rules) for r in rows))) == sorted(map(repr, ((k, u, *brute(u, chosen)) for k, u in urls)))
     assert U.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def many_rules(draw, n):
+    hosts = [f"{a}{k}.example.{b}" for k in range(n // 8) for a, b in [(draw.choice(["ads", "cdn", "img", "blog", "shop"]), draw.choice(["com", "org", "net"]))]]
+    made = []
+    for k in range(n):
+        kind = draw.randrange(6)
+        host, word = draw.choice(hosts), f"w{draw.randrange(n // 4)}"
+        made.append([f"||{host}^", f"/{word}/*.js|", f"@@||{host}/{word}^", f"{word}=", f"|https://{host}/*{word}", f"||*.{host.split('.')[0]}*^{word}"][kind])
+    urls = [f"{draw.choice(['http', 'HTTPS'])}://{draw.choice(['', 'www.'])}{draw.choice(hosts)}/{draw.choice(['', 'a/', 'A/b/'])}w{draw.randrange(n // 4)}{draw.choice(['', '/', '/x.js', '?w%d=1' % draw.randrange(n // 4)])}" for _ in range(400)]
+    return tuple(made), urls
+
+
+def test_many_rules_against_brute_force(spark, monkeypatch):
+    import random
+
+    rules, urls = many_rules(random.Random(2), 2_000)
+    table = [(k, rule, allow, re.compile(pattern)) for k, rule, allow, pattern, _ in U.rule_table(rules)]
+    expected = {}
+    for k, u in enumerate(urls):
+        hits = [(rule, allow) for _, rule, allow, p in table if p.search(u.lower())]
+        expected[k] = (bool(hits) and not any(a for _, a in hits), [r for r, _ in hits])
+    pages = spark.createDataFrame([(f"p{k}", u) for k, u in enumerate(urls)], "page_id string, url string")
+    for limit in (U.BROADCAST_BYTES, 60_000):  # at once, and in parts
+        monkeypatch.setattr(U, "BROADCAST_BYTES", limit)
+        assert {int(r.page_id[1:]): (r.blocked, r.rules) for r in U.filter_urls(pages, rules).collect()} == expected
+    assert sum(b for b, _ in expected.values()) > 20 and any(not b and r for b, r in expected.values())
+
+
+def test_only_fetched_rules_are_tried():
+    import random
+
+    rules, urls = many_rules(random.Random(3), 2_000)
+    counts = Counter(t for u in urls for t in set(U.TOKEN.findall(u.lower())))
+    index = U.Index([(k, rule, allow, pattern, min(own, key=lambda t: (counts[t], t)) if own else None) for k, rule, allow, pattern, own in U.rule_table(rules)])
+    for u in urls:
+        index.matches(u.lower())
+    # beyond the rules without a literal token, which are tried on every URL
+    assert index.tried - len(urls) * len(index.waiting[None]) < 0.02 * len(urls) * len(index.rules)
