@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import bpe, decontaminate, quality, secrets, simhash
 from corpusmill.llm.common import scratch_path
+from corpusmill.storage import spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each stage's rows written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (name, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage-{k}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
