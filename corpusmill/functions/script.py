@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from corpusmill.functions.text import bind
+from corpusmill.functions.text import python_class, bind
 
 #: Characters that are looked at.
 SAMPLE_CHARS = 4096
@@ -32,8 +36,6 @@ RANGES = {
     "georgian": "\\x{10a0}-\\x{10ff}",
     "armenian": "\\x{530}-\\x{58f}",
 }
-#: The Latin ranges without their two signs. Positive classes, since Java matches negated ones far more slowly.
-LATIN_LETTERS = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+"
 UNSPACED = tuple("han hiragana japanese katakana khmer lao myanmar thai tibetan".split())
 UNPUNCTUATED = tuple("khmer lao myanmar thai tibetan".split())
 DENSE = tuple("bengali devanagari ethiopic hangul khmer lao myanmar thai tibetan".split())
@@ -44,14 +46,31 @@ def pattern(script: str, quantifier: str = "") -> str:
     return rf"[{RANGES[script]}&&[\p{{L}}]]{quantifier}"
 
 
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]+")
+_OTHERS = {s: re.compile(f"[{python_class(r)}]+") for s, r in RANGES.items() if s != "latin"}
+
+
+def counts_of(text: str | None, sample: int = SAMPLE_CHARS) -> tuple[int, ...]:
+    """Letters of each script, in the order of ``RANGES``, among the first ``sample`` characters."""
+    head = (text or "")[:sample]
+    latin = sum(map(len, _LATIN.findall(head)))
+    rest = "" if head.isascii() else "".join(_BEYOND_LATIN.findall(head))
+    if not rest:
+        return (latin, *(0 for _ in _OTHERS))
+    return (latin, *(sum(map(str.isalpha, "".join(p.findall(rest)))) for p in _OTHERS.values()))
+
+
 def with_counts(docs: DataFrame, text: Column, prefix: str = "_n_", sample: int = SAMPLE_CHARS) -> DataFrame:
     """Adds the number of letters of each script in the first ``sample`` characters."""
-    headed = bind(docs, "_h_", {"head": F.substring(F.coalesce(text, F.lit("")), 1, sample)})
-    # what is left without the Latin blocks is short or empty for most texts, so the other patterns cost little
-    letters = F.length("_h_head") - F.length(F.regexp_replace("_h_head", LATIN_LETTERS, ""))
-    split = bind(headed, "_h_", {"latin": letters, "rest": F.regexp_replace("_h_head", r"[\x{00}-\x{24f}]+", "")})
-    each = {s: (F.col("_h_latin") if s == "latin" else F.regexp_count("_h_rest", F.lit(pattern(s)))).cast("long") for s in RANGES}
-    return bind(split, prefix, each).drop("_h_head", "_h_latin", "_h_rest")
+
+    @pandas_udf(", ".join(f"{s} long" for s in RANGES))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts_of(t, sample) for t in texts], columns=list(RANGES))
+
+    # no more than the sample goes to Python
+    counted = docs.withColumn("_h_counts", run(F.substring(text, 1, sample)))
+    return counted.select(*docs.columns, *(F.col(f"_h_counts.{s}").alias(prefix + s) for s in RANGES))
 
 
 def with_profile(docs: DataFrame, text: Column, prefix: str = "profile_", sample: int = SAMPLE_CHARS) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,47 +12,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from corpusmill.functions import text as T
 from corpusmill.schema import LEVELS
+from corpusmill.storage import checkpoint
 
+#: Rows of one digest beyond which it is hot, and hot digests that are broadcast at most (a few megabytes).
+HOT_ROWS = 1_000_000
+HOT_DIGESTS = 100_000
 
-def canonical(text: Column, level: str = "normalized") -> Column:
+
+_GAPS, _DIGITS = re.compile(r"\W+"), re.compile(r"\d+")
+
+
+def canonical_one(text: str, level: str) -> str:
     """What two texts must share to be equal: the text itself; or its case-folded words; or those with digit runs as 0."""
-    if level not in LEVELS:
-        raise ValueError(f"level must be one of {LEVELS}")
     if level == "raw":
         return text
-    spaced = F.regexp_replace(T.casefold(text), rf"[^\p{{L}}\p{{N}}_]+", " ")
-    return F.btrim(spaced) if level == "normalized" else F.regexp_replace(F.btrim(spaced), r"\p{Nd}+", "0")
+    words = _GAPS.sub(" ", text.casefold()).strip(" ")
+    return words if level == "normalized" else _DIGITS.sub("0", words)
+
+
+def _each(level: str, f: Callable[[str], str]) -> Callable[[Column], Column]:
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {LEVELS}")
 
+    @pandas_udf(StringType())
+    def run(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else f(canonical_one(t, level)) for t in text], dtype=object)
 
-@pandas_udf(StringType())
-def _blake(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), na_action="ignore")
+    return run
+
+
+def canonical(text: Column, level: str = "normalized") -> Column:
+    return _each(level, str)(text)
 
 
 def signature(text: Column, level: str = "normalized") -> Column:
     """The digest that the records carry: 32 hexadecimal digits."""
-    return _blake(canonical(text, level))
+    return _each(level, lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())(text)
 
 
 def signatures(text: Column) -> Column:
     return F.struct(*(signature(text, level).alias(level) for level in LEVELS))
 
 
-def mark_duplicates(docs: DataFrame, level: str = "normalized", key_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """Adds ``is_dup`` and ``first_key``, the key of the first row with the same text.
+def digest(text: Column, level: str = "normalized") -> Column:
+    """A 256-bit digest of the canonical text, so that long texts don't make long keys; of a null text, that of an empty one."""
+    filled = F.coalesce(text, F.lit(""))
+    return F.sha2(filled, 256) if level == "raw" else _each(level, lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest())(filled)
+
 
-    One shuffle, on a 256-bit digest of the canonical text, so long texts don't make long keys.
+def first_of_equal(digests: DataFrame, order_col: str) -> DataFrame:
+    """(order, first): the first of the rows (order, digest) with the same digest.
+
+    Firsts are aggregated where the rows are, so that a digest that a third of all rows have is no large group. The rows of
+    one that more than ``HOT_ROWS`` have are joined by broadcast, as there are few such digests.
     """
-    digest = F.sha2(F.coalesce(canonical(F.col(text_col), level), F.lit("")), 256)
+    firsts = checkpoint(digests.groupBy("digest").agg(F.min(order_col).alias("first"), F.count("*").alias("n")))
+    hot = firsts.where(F.col("n") > HOT_ROWS).drop("n")
+    few = hot.count()
+    if not 0 < few <= HOT_DIGESTS:
+        return digests.join(firsts.drop("n"), "digest").select(order_col, "first")
+    rest = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(firsts.where(F.col("n") <= HOT_ROWS).drop("n"), "digest")
+    return digests.join(F.broadcast(hot), "digest").unionByName(rest).select(order_col, "first")
+
+
+def mark_duplicates(docs: DataFrame, level: str = "normalized", key_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """Adds ``is_dup`` and ``first_key``, the key of the first row with the same text. One shuffle, on the digest."""
     same = Window.partitionBy("_digest").orderBy(order_col or key_col)
-    return (
-        docs.withColumn("_digest", digest)
-        .withColumn("is_dup", F.row_number().over(same) > 1)
-        .withColumn("first_key", F.first(key_col).over(same))
-        .drop("_digest")
-    )
+    marked = docs.withColumn("_digest", digest(F.col(text_col), level))
+    return marked.withColumn("is_dup", F.row_number().over(same) > 1).withColumn("first_key", F.first(key_col).over(same)).drop("_digest")
 
 
 def keep_first(docs: DataFrame, level: str = "normalized", key_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:

@@ -115,21 +115,23 @@ def approximate_threshold(num_perm: int = 128, bands: int = 32) -> float:
     return (1 / bands) ** (bands / num_perm)
 
 
-def candidates(signed: DataFrame, num_perm: int = 128, bands: int = 32, key_col: str = "ord", sig_col: str = "sig") -> DataFrame:
-    """Distinct (a, b), a before b, of rows that share a whole band. The bands' hashes are joined, not the bands."""
+def candidates(signed: DataFrame, num_perm: int = 128, bands: int = 32, key_col: str = "ord", sig_col: str = "sig", later: DataFrame | None = None) -> DataFrame:
+    """Distinct (a, b), a before b, of rows that share a whole band. The bands' hashes are joined, not the bands.
+
+    ``later``, if given, are the rows that b may be, of the same columns.
+    """
     if bands < 1 or num_perm % bands:
         raise ValueError("bands must divide num_perm")
     rows = num_perm // bands
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col(sig_col), i * rows + 1, rows))))
-    keyed = signed.select(F.col(key_col).alias("k"), band.alias("band"))
-    left, right = keyed.select(F.col("k").alias("a"), "band"), keyed.select(F.col("k").alias("b"), "band")
+    left, right = (df.select(F.col(key_col).alias(side), band.alias("band")) for df, side in ((signed, "a"), (signed if later is None else later, "b")))
     return left.join(right, "band").where("a < b").select("a", "b").distinct()
 
 
-def similar_pairs(signed: DataFrame, threshold: float = 0.8, num_perm: int = 128, bands: int = 32, key_col: str = "ord", sig_col: str = "sig") -> DataFrame:
-    """Verified (a, b, similarity), a before b."""
+def similar_pairs(signed: DataFrame, threshold: float = 0.8, num_perm: int = 128, bands: int = 32, key_col: str = "ord", sig_col: str = "sig", later: DataFrame | None = None) -> DataFrame:
+    """Verified (a, b, similarity), a before b; ``later`` as in ``candidates``."""
     side = signed.select(F.col(key_col).alias("k"), F.col(sig_col).alias("s"))
-    joined = candidates(signed, num_perm, bands, key_col, sig_col).join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+    joined = candidates(signed, num_perm, bands, key_col, sig_col, later).join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
     return joined.select("a", "b", similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 

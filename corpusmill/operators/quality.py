@@ -2,15 +2,18 @@
 
 The rules that apply depend on the script: text without spaces between words is measured in
 letters, scripts without terminal punctuation aren't asked for it, dense scripts may have shorter
-words. All rules are built-in expressions; words, lines and letters are found once each.
+words. Words, lines and letters are counted in one Arrow function; the rules are built-in expressions on the counts.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from corpusmill.functions import script as S
 from corpusmill.functions import text as T
@@ -39,35 +42,37 @@ DENSE_WORD_LENGTH = 1.8
 RULE_TYPE = "struct<name:string,passed:boolean,value:double,threshold:double>"
 
 
+COUNTS = ("words", "word_chars", "symbols", "tokens", "alpha_tokens", "lines", "bullet_lines", "ellipsis_lines", "ended_lines", "line_chars", "distinct_line_chars", "markers", "letters")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*")
+_MARK = re.compile(f"[{T.python_class(T.MARKS)}]")
+_MARKED_WORD = re.compile(_PLAIN_WORD.pattern.replace(r"[^\W\d_]+", rf"[^\W\d_](?:[^\W\d_]|{_MARK.pattern})*"))
+
+
+def counts_of(text: str | None) -> tuple[int, ...]:
+    """The counts that all rules are made of, named in ``COUNTS``."""
+    text = text or ""
+    word = _PLAIN_WORD if text.isascii() or not _MARK.search(text) else _MARKED_WORD
+    words, tokens, lower = word.findall(text), text.split(), text.lower()
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    runs = "".join(_LETTERS.findall(text))
+    return (
+        len(words), sum(map(len, words)), text.count("#") + text.count(ELLIPSES[0]) + text.count(ELLIPSES[1]), len(tokens),
+        sum(1 for x in tokens if x[0].isalpha() or any(map(str.isalpha, x))), len(lines), sum(1 for x in lines if x[0] in BULLETS), sum(1 for x in lines if x.endswith(ELLIPSES)),
+        sum(1 for x in lines if x[-1] in SENTENCE_ENDS), sum(map(len, lines)), sum(map(len, set(lines))), sum(1 for m in MARKERS if m in lower),
+        len(runs) if runs.isalpha() else sum(map(str.isalpha, runs)),
+    )
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts that all rules are made of, as columns named ``_m_...``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = {"text": text, "words": T.words(text), "lines": T.lines(text), "tokens": F.filter(F.split(text, f"[{T.SPACE}]+"), lambda x: x != ""), "lower": F.lower(text)}
-    first = T.bind(docs, "_t_", parts)
-    words, lines, whole, tokens = (F.col(f"_t_{k}") for k in ("words", "lines", "text", "tokens"))
-
-    def ends(line: Column) -> Column:
-        return F.endswith(line, F.lit(ELLIPSES[0])) | F.endswith(line, F.lit(ELLIPSES[1]))
-
-    def among(part: Column, members: str) -> Column:
-        return F.instr(F.lit(members), part) > 0
-
-    counts = {
-        "words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "symbols": (T.occurrences(whole, "#") + T.occurrences(whole, ELLIPSES[0]) + T.occurrences(whole, ELLIPSES[1])),
-        "tokens": F.size(tokens).cast("long"),
-        "alpha_tokens": F.size(F.filter(tokens, lambda x: x.rlike(r"\p{L}"))).cast("long"),
-        "lines": F.size(lines).cast("long"),
-        "bullet_lines": F.size(F.filter(lines, lambda x: among(F.substring(x, 1, 1), BULLETS))).cast("long"),
-        "ellipsis_lines": F.size(F.filter(lines, ends)).cast("long"),
-        "ended_lines": F.size(F.filter(lines, lambda x: among(F.substring(x, -1, 1), SENTENCE_ENDS))).cast("long"),
-        "line_chars": F.length(F.array_join(lines, "")).cast("long"),
-        "distinct_line_chars": F.length(F.array_join(F.array_distinct(lines), "")).cast("long"),
-        "markers": sum((F.contains(F.col("_t_lower"), F.lit(m)).cast("long") for m in MARKERS), F.lit(0)).cast("long"),
-        "letters": F.length(F.regexp_replace(whole, r"\P{L}+", "")).cast("long"),
-    }
-    return T.bind(first, PREFIX, counts).drop(*(f"_t_{k}" for k in parts))
+    """Adds the counts that all rules are made of, as columns named ``_m_...``; one pass over each text, in an Arrow function."""
+
+    @pandas_udf(", ".join(f"{k} long" for k in COUNTS))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts_of(t) for t in texts], columns=COUNTS)
+
+    counted = docs.withColumn("_t_counts", run(F.col(text_col)))
+    return counted.select(*docs.columns, *(F.col(f"_t_counts.{k}").alias(PREFIX + k) for k in COUNTS))
 
 
 def value_of(rule: str, m: Column) -> Column:

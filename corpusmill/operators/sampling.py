@@ -14,7 +14,7 @@ def hash_sample(docs: DataFrame, n: int, key_col: str = "doc_id", seed: int = 0)
     """The ``n`` rows with the smallest hashes: a top-n, with no full sort and no shuffle of the rest."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    return docs.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key_col))).orderBy("_h", key_col).limit(n).drop("_h")
+    return docs.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))).orderBy("_h", key_col).limit(n).drop("_h")
 
 
 def reservoir_places(total: int, n: int, seed: int = 0) -> list[int]:
@@ -29,10 +29,13 @@ def reservoir_places(total: int, n: int, seed: int = 0) -> list[int]:
 
 
 def reservoir_sample(docs: DataFrame, n: int, order_col: str = "doc_id", seed: int = 0) -> DataFrame:
-    """The rows that a sequential reservoir would hold: the same draws, made in the driver for the counted rows."""
+    """The rows that a sequential reservoir would hold: the same draws, made in the driver for the counted rows.
+
+    One draw a row in sequence is what makes it the same sample; for large corpora ``hash_sample`` needs none.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
     indexed = with_index(docs, order_col)
     places = reservoir_places(docs.count(), n, seed)
     chosen = docs.sparkSession.createDataFrame([(p, k) for k, p in enumerate(places)], "idx long, slot int")
-    return indexed.join(F.broadcast(chosen), "idx").orderBy("slot").drop("idx", "slot")
+    return indexed.join(F.broadcast(chosen) if n <= 1_000_000 else chosen, "idx").orderBy("slot").drop("idx", "slot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,33 +15,47 @@ from corpusmill.storage import checkpoint
 STAGES = ("empty", "exact_duplicate", "quality", "near_duplicate")
 
 
-def annotate(docs: DataFrame, settings: Settings = Settings(), order_col: str = "ord") -> DataFrame:
+NO_REPORT = "struct<passed:boolean,failures:array<string>,script:string>"
+
+
+def annotate(docs: DataFrame, settings: Settings = Settings(), order_col: str = "ord", on_progress: Callable[[str, int], None] | None = None) -> DataFrame:
     """Every row with ``drop_reason``, null for those that stay, and what was found about it.
 
-    ``docs`` has (order_col, url, text, html, title, crawled_at); the order decides which of equal rows is first.
-    The exact hash is taken of all rows with text, whether they pass quality or not; near-duplicates are
-    looked for among rows that pass, and MinHash is computed for them alone.
+    ``docs`` has (order_col, url, text, html, title, crawled_at); the order, which must be unique, decides which of equal rows is
+    first. The exact hash is taken of all rows with text, whether they pass quality or not; near-duplicates are
+    looked for among rows that pass, and MinHash is computed for them alone. Decisions are made on rows without texts, and
+    join the texts once. ``on_progress`` is told each stage that is done and its rows.
     """
     for name in ("url", "text", "html", "title", "crawled_at"):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast("string"))
     ready = extract.prepare(docs, settings).withColumn("crawled_at", F.coalesce("crawled_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))
-    ready = ready.withColumn("empty", F.col("text") == "")
-    # prepared texts are computed once: the stages below read them several times
-    ready = checkpoint(exact.mark_duplicates(ready, settings.exact_level, order_col, "text", order_col))
-    firsts = ready.where("NOT empty AND NOT is_dup")
     if settings.run_quality:
-        judged = quality.assess(firsts.select(order_col, "text"), adapt_to_script=settings.adapt_to_script).select(order_col, "report")
-        judged = checkpoint(judged)
+        ready = quality.assess(ready, adapt_to_script=settings.adapt_to_script)
     else:
-        judged = firsts.select(order_col).withColumn("report", F.lit(None).cast("struct<passed:boolean,failures:array<string>,script:string>"))
-    passed = judged.where(F.coalesce("report.passed", F.lit(True))).select(order_col)
+        ready = ready.withColumn("report", F.lit(None).cast(NO_REPORT))
+    ready = ready.withColumn("empty", F.col("text") == "").withColumn("_digest", exact.digest(F.col("text"), settings.exact_level))
+    # prepared texts are computed once: the stages below read them several times
+    ready = checkpoint(ready)
+    told = on_progress or (lambda stage, rows: None)
+    if on_progress:
+        told("prepared", ready.count())
+    firsts = exact.first_of_equal(ready.where("NOT empty").select(order_col, F.col("_digest").alias("digest")), order_col)
+    firsts = checkpoint(firsts.select(order_col, (F.col("first") < F.col(order_col)).alias("is_dup")))
+    ready = ready.drop("_digest")
+    if on_progress:
+        told("exact_duplicate", firsts.where("NOT is_dup").count())
     if settings.run_near_dedup:
-        near = minhash.deduplicate(firsts.join(passed, order_col, "left_semi"), settings.near_dup_threshold, settings.num_perm, settings.bands, settings.ngram, order_col).withColumnRenamed("ord", order_col)
+        left = ready.where(F.coalesce("report.passed", F.lit(True))).select(order_col, "text").join(firsts.where("NOT is_dup").select(order_col), order_col, "left_semi")
+        near = minhash.deduplicate(left, settings.near_dup_threshold, settings.num_perm, settings.bands, settings.ngram, order_col).withColumnRenamed("ord", order_col)
         near = near.select(order_col, F.col("is_dup").alias("near_dup"), "matched_ord", "similarity")
+        decided = firsts.join(near, order_col, "left")
     else:
-        near = passed.limit(0).select(order_col, F.lit(False).alias("near_dup"), F.col(order_col).alias("matched_ord"), F.lit(0.0).alias("similarity"))
-    out = ready.join(judged, order_col, "left").join(near, order_col, "left")
+        decided = firsts.select("*", F.lit(False).alias("near_dup"), F.lit(None).cast(firsts.schema[order_col].dataType).alias("matched_ord"), F.lit(None).cast("double").alias("similarity"))
+    decided = checkpoint(decided)
+    if on_progress:
+        told("near_duplicate", decided.where("NOT is_dup AND near_dup = false").count())
+    out = ready.join(decided, order_col, "left").withColumn("report", F.when(~F.col("empty") & ~F.col("is_dup"), F.col("report")))
     reason = (
         F.when(F.col("empty"), "empty")
         .when(F.col("is_dup"), "exact_duplicate")
@@ -52,7 +68,7 @@ def annotate(docs: DataFrame, settings: Settings = Settings(), order_col: str =
 
 def kept(annotated: DataFrame) -> DataFrame:
     """The rows that stay, with their ids and signatures."""
-    return annotated.where("drop_reason IS NULL").withColumn("signatures", exact.signatures(F.col("text"))).withColumn("doc_id", T.doc_id(F.col("url"))).drop("drop_reason", "first_key", "matched_ord", "similarity")
+    return annotated.where("drop_reason IS NULL").withColumn("signatures", exact.signatures(F.col("text"))).withColumn("doc_id", T.doc_id(F.col("url"))).drop("drop_reason", "matched_ord", "similarity")
 
 
 def stats(annotated: DataFrame, malformed: int = 0) -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import script as S
 from corpusmill.functions import text as T
-from corpusmill.operators import batching, exact, extract, minhash, quality, sampling
+from corpusmill.operators import batching, evaluation, exact, extract, minhash, quality, sampling
 from corpusmill.plans import corpus
 from corpusmill.sources import shards
 from corpusmill.storage import spread
@@ -34,23 +34,38 @@ def query(sql: str | None = None):
     return register
 
 
-# SQL for the texts. The tables' texts are in normal form NFKC already, so that step is left out.
-SPACE, FLAT = T.SPACE, T.FLAT_SPACE
-NORM = rf"""trim(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, '{T.INVISIBLE}', '', 'g'), '{T.CONTROL}', '', 'g'), '{T.SINGLE_QUOTES}{T.DOUBLE_QUOTES}', '''''''''''""{'"' * 3}'), '[{FLAT}]+', ' ', 'g'), '\n[ \n]*\n[ \n]*\n', chr(10) || chr(10), 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10))"""
+# SQL for the texts. Its constants are typed out here and not taken from the operators, so that a wrong one in either place shows.
+# The tables' texts are in normal form NFKC already, so that step is left out.
+SPACE = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+FLAT = r"\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+INVISIBLE = r"[\x{200b}\x{200c}\x{200d}\x{200e}\x{200f}\x{202a}\x{202b}\x{202c}\x{202d}\x{202e}\x{2060}\x{2061}\x{2062}\x{2063}\x{2064}\x{feff}]"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{80}-\x{9f}]"
+LETTER = r"\p{L}\p{Nl}\p{No}"
+# combining marks don't occur in the tables, so words are letters, with apostrophes and hyphens between them
+WORD = rf"[{LETTER}]+(?:[''\x{{2019}}-][{LETTER}]+)*"
+MARKERS = ["javascript is disabled", "enable javascript", "cookie policy", "privacy policy", "terms of use", "all rights reserved", "404 not found", "403 forbidden", "access denied", "lorem ipsum"]
+NORM = rf"""trim(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(regexp_replace(text, '{INVISIBLE}', '', 'g'), '{CONTROL}', '', 'g'), '‘’‚‛′“”„‟″', '''''''''''""{'"' * 3}'), '[{FLAT}]+', ' ', 'g'), '\n[ \n]*\n[ \n]*\n', chr(10) || chr(10), 'g'), ' *\n *', chr(10), 'g'), ' ' || chr(10))"""
 NORMED = f"WITH n AS (SELECT doc_id, lang, source, {NORM} AS text FROM documents)"
 FOLDED = "trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
 LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')), lambda x: x <> '')"
 COUNTED = rf"""{NORMED},
-p AS (SELECT doc_id, lang, text, regexp_extract_all(text, '{T.WORD_RE2.replace("'", "''")}') AS w, {LINES} AS l, regexp_extract_all(text, '[^{SPACE}]+') AS tk FROM n),
+p AS (SELECT doc_id, lang, text, regexp_extract_all(text, '{WORD}') AS w, {LINES} AS l, regexp_extract_all(text, '[^{SPACE}]+') AS tk FROM n),
 m AS (SELECT doc_id, lang, text, len(w) AS words, length(array_to_string(w, '')) AS word_chars,
   (length(text) - length(replace(text, '#', ''))) + (length(text) - length(replace(text, '...', ''))) // 3 + (length(text) - length(replace(text, '…', ''))) AS symbols,
   len(tk) AS tokens, len(list_filter(tk, lambda x: regexp_matches(x, '\p{{L}}'))) AS alpha_tokens, len(l) AS lines,
-  len(list_filter(l, lambda x: contains('{quality.BULLETS}', x[1]))) AS bullet_lines,
+  len(list_filter(l, lambda x: contains('-*•‣◦⁃', x[1]))) AS bullet_lines,
   len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) AS ellipsis_lines,
-  len(list_filter(l, lambda x: contains('{quality.SENTENCE_ENDS}', x[-1]))) AS ended_lines,
+  len(list_filter(l, lambda x: contains('.!?。！？।॥۔։።', x[-1]))) AS ended_lines,
   length(array_to_string(l, '')) AS line_chars, length(array_to_string(list_distinct(l), '')) AS distinct_line_chars,
-  {" + ".join(f"contains(lower(text), '{x}')::BIGINT" for x in quality.MARKERS)} AS markers,
+  {" + ".join(f"contains(lower(text), '{x}')::BIGINT" for x in MARKERS)} AS markers,
   length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS letters FROM p)"""
+#: (least, most) that a rule's value may be.
+BOUNDS = {
+    "word_count": (50, 100_000), "mean_word_length": (3, 10), "symbol_to_word_ratio": (None, 0.1), "alpha_word_ratio": (0.8, None), "bullet_line_ratio": (None, 0.9),
+    "ellipsis_line_ratio": (None, 0.3), "terminal_punctuation_ratio": (0.15, None), "repetition_ratio": (None, 0.3), "boilerplate_markers": (None, 2),
+    "char_count": (80, 400_000), "symbol_to_char_ratio": (None, 0.05),
+}
+DEFAULTS = list(BOUNDS)[:9]
 VALUES = {
     "word_count": "words::DOUBLE",
     "mean_word_length": "word_chars / nullif(words, 0)",
@@ -67,13 +82,13 @@ VALUES = {
 
 
 def passes(rule: str) -> str:
-    low, high = quality.LIMITS[rule]
+    low, high = BOUNDS[rule]
     tests = ([f"v >= {low}"] if low is not None else []) + ([f"v <= {high}"] if high is not None else [])
     return f"coalesce({' AND '.join(tests)}, false)"
 
 
 # 'latin' decides for all texts of the tables, which SQL checks too: the default rules apply.
-VERDICTS = COUNTED + ",\nf AS (SELECT doc_id, lang, list_filter([" + ", ".join(f"CASE WHEN NOT {passes(r).replace('v', f'({VALUES[r]})')} THEN '{r}' END" for r in quality.DEFAULT_RULES) + "], lambda x: x IS NOT NULL) AS failures FROM m)"
+VERDICTS = COUNTED + ",\nf AS (SELECT doc_id, lang, list_filter([" + ", ".join(f"CASE WHEN NOT {passes(r).replace('v', f'({VALUES[r]})')} THEN '{r}' END" for r in DEFAULTS) + "], lambda x: x IS NOT NULL) AS failures FROM m)"
 
 
 def normed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +190,7 @@ def quality_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _runs_sql(source: str, key: str, n: int = 5) -> str:
-    token = T.TOKEN
+    token = r"[\p{L}\p{N}_]+"
     return f"""t AS (SELECT {key}, regexp_extract_all(lower(text), '{token}') AS t FROM {source}),
 s AS (SELECT {key}, CASE WHEN len(t) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(2, len(t) - {n} + 2)), lambda i: array_to_string(t[i:i + {n - 1}], ' '))) END AS s FROM t)"""
 
@@ -261,13 +276,23 @@ def pages_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ord").alias("page_id"), "url", "title", "text", "language", "drop_reason")
 
 
-@query()
+# one text after the other, in order of length
+BATCHES = """WITH RECURSIVE o AS (SELECT doc_id, length(text)::INTEGER AS length, row_number() OVER (ORDER BY length(text), doc_id) AS k FROM documents),
+b AS (SELECT k, doc_id, length, 0::BIGINT AS batch_id, 1 AS size FROM o WHERE k = 1
+  UNION ALL SELECT n.k, n.doc_id, n.length, n.open_id + (NOT n.fits)::BIGINT, CASE WHEN n.fits THEN n.open_size + 1 ELSE 1 END
+  FROM (SELECT o.*, b.batch_id AS open_id, b.size AS open_size, o.length * (b.size + 1) <= 16384 AND b.size < 64 AS fits FROM b JOIN o ON o.k = b.k + 1) n)"""
+
+
+@query(f"{BATCHES} SELECT doc_id, batch_id, length FROM b")
 def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return batching.adaptive_batches(docs).select("doc_id", "batch_part", "batch_id", "length")
+    return batching.adaptive_batches(docs).select("doc_id", "batch_id", "length")
 
 
-@query()
+@query(
+    f"""{BATCHES}, e AS (SELECT count(*) AS n, sum(length)::BIGINT AS t, max(length)::BIGINT AS m FROM b GROUP BY batch_id)
+SELECT count(*) AS batches, sum(n)::BIGINT AS texts, sum(t)::BIGINT AS tokens, sum(m * n)::BIGINT AS padded_tokens, sum(t) / sum(m * n) AS efficiency FROM e"""
+)
 def padding_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.padding(batching.adaptive_batches(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -295,7 +320,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("records")).withColumn("path", F.format_string("shard-%05d.jsonl.gz", "shard"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('0:' || doc_id), doc_id LIMIT 100")
 def sample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hash_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), 100)
 
@@ -303,3 +328,15 @@ def sample_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sample_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.reservoir_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), 100)
+
+
+@query()
+def dedup_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall on a thousand labelled texts, of which two hundred are variants of others."""
+    return evaluation.dedup_scores(evaluation.labelled_corpus(spark, 1_000))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem")
+def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = evaluation.linear_fit(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+    return fit.select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))

@@ -44,7 +44,7 @@ def process_batch(rows: DataFrame, batch: int, out_dir: str, settings: Settings
 
     read = checkpoint(rows.withColumn("ord", F.monotonically_increasing_id()))
     docs = extract.prepare(jsonl.good(read), settings)
-    docs = docs.withColumn("digest", F.sha2(F.coalesce(exact.canonical(F.col("text"), settings.exact_level), F.lit("")), 256))
+    docs = docs.withColumn("digest", exact.digest(F.col("text"), settings.exact_level))
     docs = checkpoint(exact.mark_duplicates(docs, settings.exact_level, "ord", "text", "ord"))
     seen = _stored(spark, f"{out_dir}/digests", batch, "digest string")
     firsts = docs.where("text <> '' AND NOT is_dup").join(seen, "digest", "left_anti")
@@ -58,8 +58,8 @@ def process_batch(rows: DataFrame, batch: int, out_dir: str, settings: Settings
         known = _stored(spark, f"{out_dir}/signatures", batch, "sig array<bigint>").select((-F.monotonically_increasing_id() - 1).alias("ord"), "sig")
         signed = checkpoint(passed.select("ord", minhash.signature(F.col("text"), settings.num_perm, settings.ngram).alias("sig")))
         # rows that stayed before come first in the order, and are always kept
-        fresh = minhash.similar_pairs(signed.unionByName(known), settings.near_dup_threshold, settings.num_perm, settings.bands)
-        fresh = checkpoint(fresh.where("b >= 0"))
+        # new rows against new and known ones; known ones aren't joined with each other again
+        fresh = checkpoint(minhash.similar_pairs(signed.unionByName(known), settings.near_dup_threshold, settings.num_perm, settings.bands, later=signed))
         old = checkpoint(fresh.where("a < 0").select(F.col("b").alias("ord")).distinct())
         left = fresh.where("a >= 0").select("a", "b").join(old.withColumnRenamed("ord", "a"), "a", "left_anti").join(old.withColumnRenamed("ord", "b"), "b", "left_anti").select("a", "b")
         gone = old.union(minhash.greedy(left).where("NOT kept").select("k"))

@@ -110,6 +110,50 @@ def test_pair_queries_cover_every_document(spark, tmp_path):
     assert got == sorted((*k, s) for k, s in shared.items() if s >= 0.8)
 
 
+def test_scores_on_labelled_texts(spark):
+    from corpusmill.operators import evaluation
+
+    labelled = evaluation.labelled_corpus(spark, 50)
+    rows = labelled.orderBy("ord").collect()
+    sets = [minhash.shingle_set(r.text) for r in rows]
+    for r, s in zip(rows, sets):
+        assert len(r.text.split()) == 160 and r.expected_duplicate == (r.ord % 5 == 4)
+        if r.expected_duplicate:
+            other = sets[r.ord - 1]
+            assert rows[r.ord - 1].family == r.family and 0.85 < len(s & other) / len(s | other) < 0.93
+    assert len({r.family for r in rows}) == 40
+    low = evaluation.dedup_scores(labelled, threshold=0.7).first()
+    assert (low.documents, low.expected, low.true_positive, low.false_positive, low.false_negative, low.precision, low.recall) == (50, 10, 10, 0, 0, 1.0, 1.0)
+    none = evaluation.dedup_scores(labelled, threshold=1.0).first()
+    assert none.recall < 1 and none.precision == 1.0
+
+
+def test_linear_fit(spark):
+    from corpusmill.operators import evaluation
+
+    points = spark.createDataFrame([(1.0, 42.3), (5.0, 85.6), (10.0, 139.7)], "x double, y double")
+    fit = evaluation.linear_fit(points, "x", "y").first()
+    slope, intercept = np.polyfit([1, 5, 10], [42.3, 85.6, 139.7], 1)
+    assert np.isclose(fit.slope, slope) and np.isclose(fit.intercept, intercept)
+    assert evaluation.linear_fit(points.where("x = 1"), "x", "y").first().slope is None
+
+
+def test_later_rows_alone_are_matched(spark):
+    a, b = minhash.permutations(8)
+    rows = [(k, minhash.sign(t, a, b).astype(int).tolist()) for k, t in [(-2, "one two three four five six"), (-1, "one two three four five six"), (3, "one two three four five six"), (4, "other words are in this text")]]
+    signed = spark.createDataFrame(rows, "ord long, sig array<bigint>")
+    pairs = minhash.similar_pairs(signed, 0.8, 8, 4, later=signed.where("ord > 0")).collect()
+    assert sorted((r.a, r.b) for r in pairs) == [(-2, 3), (-1, 3)]
+
+
+def test_hot_digests_are_joined_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"d{k % 7 if k % 3 else 0}") for k in range(200)], "ord long, digest string")
+    before = sorted(map(tuple, exact.first_of_equal(rows, "ord").collect()))
+    monkeypatch.setattr(exact, "HOT_ROWS", 25)
+    assert sorted(map(tuple, exact.first_of_equal(rows, "ord").collect())) == before
+    assert before == sorted((k, min(j for j in range(200) if (j % 7 if j % 3 else 0) == (k % 7 if k % 3 else 0))) for k in range(200))
+
+
 def test_chain_keeps_what_no_kept_row_matches(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert {r.k: r.kept for r in minhash.greedy(edges).collect()} == {1: True, 2: False, 3: True, 4: False}

@@ -88,3 +88,15 @@ def test_ties_and_kana(spark, text, script):
 def test_only_the_first_characters_count(spark):
     row = S.with_profile(spark.createDataFrame([("a" * 4096 + "д" * 9000,)], "text string"), F.col("text")).first()
     assert (row.profile_script, row.profile_confidence) == ("latin", 1.0)
+
+
+def test_counts_equal_the_column_functions(spark):
+    from corpusmill.functions import text as T
+
+    texts = [*SCRIPTS.values(), *JUNK.values(), "", "a-b c’d 2nd ½ Ⅻ x_y", "e\u0301te\u0301 n'est", "  \n- one\n\n\u3000two…\n... # ##"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    words, lines = T.words(F.col("text")), T.lines(F.col("text"))
+    plain = rows.select(F.size(words).alias("words"), F.length(F.array_join(words, "")).alias("word_chars"), F.size(lines).alias("lines"), F.length(F.array_join(lines, "")).alias("line_chars"), F.length(F.regexp_replace("text", r"\P{L}+", "")).alias("letters"))
+    for text, r in zip(texts, plain.collect()):
+        counts = dict(zip(Q.COUNTS, Q.counts_of(text)))
+        assert {k: counts[k] for k in r.asDict()} == r.asDict(), text

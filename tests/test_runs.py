@@ -85,6 +85,27 @@ def test_other_commands(spark, crawl_file, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"title": "Port", "text": GOOD}
 
 
+def test_piped_lines_versions_and_progress(spark, crawl_file, tmp_path, capsys, monkeypatch):
+    import io
+
+    monkeypatch.setattr(cli, "PIPE_LINES", 3)
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(crawl_file.read_bytes())))
+    assert cli.main(["build", "-", "-o", str(tmp_path / "out"), "--progress-every", "4"]) == 0
+    said = capsys.readouterr().err
+    assert json.loads((tmp_path / "out" / "stats.json").read_text())["stats"]["kept"] == 2
+    assert "... 4\n... 8\n" in said and "... near_duplicate: 2 left" in said
+    for command in ("build", "assess", "dedup", "extract"):
+        with pytest.raises(SystemExit) as e:
+            cli.main([command, "--version"])
+        assert e.value.code == 0 and capsys.readouterr().out.strip() == cli.VERSION
+
+
+def test_stages_are_reported(spark):
+    told = []
+    corpus.annotate(frame(spark), on_progress=lambda stage, rows: told.append((stage, rows)))
+    assert told == [("prepared", 8), ("exact_duplicate", 4), ("near_duplicate", 2)]
+
+
 def test_stream_equals_its_batches(spark, tmp_path):
     for k, part in enumerate((LINES[:4], LINES[4:], LINES[:2])):
         (tmp_path / "in").mkdir(exist_ok=True)

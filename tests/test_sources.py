@@ -86,8 +86,8 @@ def test_batches(spark):
         numbers = batching.pack(__import__("numpy").array([lengths[k] for k in order]))
         rows = batching.adaptive_batches(docs, sort_by_length=by_length, partitions=1).collect()
         assert {r.doc_id: r.batch_id for r in rows} == dict(zip(order, numbers.tolist()))
-    spread = batching.adaptive_batches(docs, partitions=4)
-    sizes = spread.groupBy("batch_part", "batch_id").agg({"length": "max", "doc_id": "count"}).collect()
+    spread = batching.adaptive_batches(docs.repartition(4))
+    sizes = spread.groupBy("batch_id").agg({"length": "max", "doc_id": "count"}).collect()
     assert all(r["count(doc_id)"] <= 64 and (r["count(doc_id)"] == 1 or r["max(length)"] * r["count(doc_id)"] <= 16_384) for r in sizes)
     assert sum(r["count(doc_id)"] for r in sizes) == 301
     good, bad = (batching.padding(batching.adaptive_batches(docs, sort_by_length=s, partitions=1)).first().efficiency for s in (True, False))
@@ -98,6 +98,36 @@ def test_batches(spark):
     assert vectors == dict.fromkeys(range(301), 64)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_planned_batches_are_the_packed_ones(seed):
+    import numpy as np
+
+    draw = random.Random(seed)
+    lengths = sorted(draw.choice([0, 1, 5, 5, 5, draw.randrange(300), draw.randrange(30)]) for _ in range(draw.randrange(1, 400)))
+    most, size = draw.choice([50, 200, 1000]), draw.choice([1, 3, 16])
+    counts = [(n, lengths.count(n)) for n in sorted(set(lengths))]
+    got = []
+    for (_, count), (_, start, lead, opened, first, each) in zip(counts, batching.plan(counts, most, size)):
+        assert start == len(got)
+        got += [opened if k < lead else first + (k - lead) // each for k in range(count)]
+    assert got == batching.pack(np.array(lengths), most, size).tolist()
+
+
+def test_stored_batches_embed_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{k}", "x" * (k % 90)) for k in range(500)], "doc_id string, text string")
+
+    class Whole:
+        def encode(self, texts):
+            return [[float(len(texts)), float(max(map(len, texts)))]] * len(texts)
+
+    batching.adaptive_batches(docs).repartition(7).write.parquet(f"{tmp_path}/b")
+    stored = spark.read.parquet(f"{tmp_path}/b")
+    got = {r.doc_id: r.embedding for r in batching.embed(stored, Whole).collect()}
+    sizes = {r.doc_id: r.batch_id for r in stored.collect()}
+    count = {b: list(sizes.values()).count(b) for b in set(sizes.values())}
+    assert len(got) == 500 and all(v[0] == count[sizes[k]] for k, v in got.items())
+
+
 def test_an_encoder_must_answer_for_every_text(spark):
     class Short:
         def encode(self, texts):

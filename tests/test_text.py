@@ -13,6 +13,11 @@ def apply(spark, texts, f):
     return [r.out for r in rows.select("k", f(F.col("text")).alias("out")).orderBy("k").collect()]
 
 
+@pytest.fixture(scope="module")
+def fuzz(spark):
+    return spark
+
+
 def test_normalize_steps(spark):
     cases = {
         "a​b‮c﻿": "abc", "a\x00b\x0cc\x85d": "abcd", "ｆｕｌｌ ﬁne…": "full fine...", "‘a’ “b”": "'a' \"b\"", "a\t  b\rc": "a b c",
@@ -23,6 +28,13 @@ def test_normalize_steps(spark):
     assert apply(spark, list(cases.values()), T.normalize) == list(cases.values())
 
 
+@settings(max_examples=15, deadline=None)
+@given(texts=st.lists(st.text(alphabet="ab \n\t\r\x0b\x1c\x85\xa0\u200b\u202e\u2009\u3000é…“'‚ﬁ\x00", max_size=40), min_size=30, max_size=60))
+def test_normalize_equals_its_steps(fuzz, texts):
+    for quotes in (True, False):
+        assert apply(fuzz, texts, lambda c: T.normalize(c, "NFKC", quotes)) == apply(fuzz, texts, lambda c: T.normalize_by_expressions(c, "NFKC", quotes))
+
+
 def test_forms(spark):
     texts = ["é", "é", "ﬁ", "plain", None]
     for form in ("NFC", "NFD", "NFKC", "NFKD"):
@@ -45,11 +57,6 @@ def test_lines_and_counts(spark):
     assert apply(spark, ["https://example.com/a"], T.doc_id) == ["2dce0a4c50441bfc"]
 
 
-@pytest.fixture(scope="module")
-def fuzz(spark):
-    return spark
-
-
 @settings(max_examples=15, deadline=None)
 @given(texts=st.lists(st.text(alphabet="ab \n\t\r ​ é…“'", max_size=30), min_size=20, max_size=40))
 def test_normalize_twice_is_once(fuzz, texts):
