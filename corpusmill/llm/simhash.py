@@ -1,22 +1,22 @@
-"""Near-duplicate removal by SimHash fingerprints and pigeonhole blocks.
-
-Each document's distinct words vote on 256 bits. A fingerprint is split into 18 blocks, and two
-fingerprints are candidates when they share two whole blocks, which is certain up to a Hamming
-distance of 16 and likely up to the limit of 36 (the share of pairs found is measured in the
-tests). Every pair of blocks is one join key of 28 bits or so; fingerprints that share a key
-are verified by Hamming distance. Within one key's group the verified pairs are reported as a
-spanning forest, found breadth first, so a group of thousands of copies costs thousands of
-pairs and not millions, and still nothing is capped. Groups are the connected components of
+"""Near-duplicate removal by SimHash fingerprints and keys that no near pair escapes.
+
+Each document's distinct words vote on 256 bits. Two documents are near when their fingerprints differ in at most 36 bits, and
+every such pair is found. A fingerprint is split into 6 blocks; of two near ones some block differs in few bits
+(five blocks in at most 5, or one in at most 6). For a block that may differ in r bits, each bit is given a vector of r + 1 bits, and each
+of the 2^(r + 1) - 1 vectors v that aren't zero makes a key of the bits whose vector has an odd product with v, about half of them.
+The vectors of r bits that differ leave some v orthogonal to all of them, so that key is equal: 442 keys of about 21 bits, and no near pair without one.
+Fingerprints that share a key are verified by Hamming distance.
+
+Keys are never shuffled. Fingerprints, 32 bytes each, are dealt into groups of a bounded size, and each two groups meet in one
+task, which makes one key after another and sorts by it in memory. Pairs are reported as long as they join what the task has not joined yet, and a key
+that many share gets a spanning forest, found breadth first, so a group of thousands of copies costs thousands of pairs and not
+millions, and still nothing is capped. Where keys would cost more comparisons than all pairs do, all pairs are compared, so that is the most a
+task can cost. The number of tasks grows with the square of the fingerprints. Near-duplicate groups are the connected components of
 the verified pairs, made by alternating star contractions.
 
-Only ids, hashes of texts and blocks move: texts are read once and never shuffled. Equal fingerprints are one
+Only ids, hashes of texts and fingerprints move: texts are read once and never shuffled. Equal fingerprints are one
 row from the start, which takes care of large groups of exact copies.
 
-A key that more than ``HOT`` fingerprints share is hot: its fingerprints are compared with one of them, the leader, where
-they are; those near it are one group, and each of the others meets every fingerprint of the key in
-cells of a bounded size. So hot keys are verified as fully as others and no task holds a whole one. A sample
-tells which keys are hot; it decides on the way alone, not on the result.
-
 Defined results: rows whose text is null or holds no word, and rows whose id is null, are not
 compared and always stay; texts are read whole; repeated rows are copies, and one of them stays; of each group
 the row with the smallest id stays, of several with that id the one whose text has the smallest hash; different texts
@@ -26,8 +26,8 @@ empty table has no pairs; other columns are passed through by ``deduplicate`` wh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import combinations
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +37,19 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import Words, checkpoint, id_and_text, mix, slices, small_side, with_id
 
 BITS = 256
-BLOCKS = 18
+BLOCKS = 6
 DISTANCE = 36
 _FP = [f"f{k}" for k in range(BITS // 64)]
 #: Votes counted at once; bounds a worker's memory.
 _VOTES = 1 << 16
-#: Fingerprints with one key beyond which the key is hot, and those of a cell of it.
-HOT = 100_000
-CELL = 16_384
-#: One of so many fingerprints is looked at to tell hot keys.
+#: Fingerprints with one key beyond which they get a forest, not all their pairs.
+HOT = 64
+#: One of so many keys is tried to tell whether comparing all pairs is less work.
 HOT_SAMPLE = 64
+#: Fingerprints of a group; a task holds two groups.
+CELL = 1 << 20
+#: Tasks that the keys of a table of few groups are dealt to.
+PARTS = 12
 #: Rows with one value beyond which a join deals with that value apart, by broadcast.
 HOT_ROWS = 1_000_000
 
@@ -76,87 +79,139 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, np.diff(bounds) > 0
 
 
-def block_keys(fp: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
-    """(rows x pairs of blocks) int64 keys: the number of the pair above both blocks' bits."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), -1), axis=1).astype(np.int64)
-    cuts = np.linspace(0, bits.shape[1], blocks + 1).astype(int)
-    values = [bits[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(cuts, cuts[1:])]
-    return np.stack([(k << 48) | (values[i] << 24) | values[j] for k, (i, j) in enumerate(combinations(range(blocks), 2))], axis=1)
-
+@lru_cache
+def key_masks(distance: int = DISTANCE, blocks: int = BLOCKS) -> np.ndarray:
+    """(keys x 4 uint64): the bits that make each key. Fingerprints within ``distance`` agree in all bits of one mask at least.
 
-def forest(fp: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
-    """A spanning forest (i, j, distance), i < j, of the pairs within ``limit`` of each other."""
+    ``blocks`` decides on the number of keys and their length, not on the result; there are more where a block would need over 127 keys.
+    """
+    total = distance + 1
+    blocks = min(max(blocks, -(-total // 7)), total)
+    # were each block to differ in as many bits as its vectors have, that would be ``total``
+    sizes = [total // blocks + (k < total % blocks) for k in range(blocks)]
+    cuts = np.rint(np.cumsum([0, *sizes]) * (BITS / total)).astype(int)
+    draw, masks = np.random.default_rng(1), []
+    for size, a, b in zip(sizes, cuts, cuts[1:]):
+        v = np.arange(1, 1 << size)
+        best, cost = None, np.inf
+        for _ in range(200):  # any vectors are right; even ones make the keys long
+            vectors = np.concatenate([draw.permutation(v) for _ in range(-(-(b - a) // len(v)))])[: b - a]
+            odd = np.bitwise_count(v[:, None] & vectors) & 1
+            if np.exp2(-odd.sum(axis=1, dtype=float)).sum() < cost:
+                best, cost = odd, np.exp2(-odd.sum(axis=1, dtype=float)).sum()
+        bits = np.zeros((len(v), BITS), np.uint8)
+        bits[:, a:b] = best
+        masks.append(bits)
+    return np.packbits(np.concatenate(masks), axis=1).view(np.uint64)
+
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_LOW = np.uint64(32)
+
+
+def _hashed(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """32-bit hashes, as uint64, of the bits in ``mask``. Fingerprints are columns of ``words``."""
+    h = np.zeros(words.shape[1], np.uint64)
+    for k in np.flatnonzero(mask):
+        h += (words[k] & mask[k]) * _ODD[k]
+    return h >> _LOW
+
+
+def block_keys(fp: np.ndarray, blocks: int = BLOCKS, distance: int = DISTANCE) -> np.ndarray:
+    """(rows x keys) int64 keys; rows within ``distance`` of each other share one at least, in the same column."""
+    words = np.ascontiguousarray(fp.T)
+    return np.stack([_hashed(words, mask) for mask in key_masks(distance, blocks)], axis=1).view(np.int64)
+
+
+def forest(fp: np.ndarray, limit: int, work: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """A spanning forest (i, j, distance), i < j, of the pairs within ``limit`` of each other. Adds the comparisons made to ``work``."""
     edges, rest = [], np.arange(len(fp))
+    left = fp
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        queue, rest, left = [int(rest[0])], rest[1:], left[1:]
         while queue and len(rest):
             i = queue.pop()
-            d = np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1)
+            d = np.bitwise_count(left ^ fp[i]).sum(axis=1)
+            if work is not None:
+                work[0] += len(rest)
             near = d <= limit
+            if not near.any():
+                continue
             for j, x in zip(rest[near].tolist(), d[near].tolist()):
                 edges.append((min(i, j), max(i, j), x))
                 queue.append(j)
-            rest = rest[~near]
+            rest, left = rest[~near], left[~near]
     return edges
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """Batches sorted by their first column, cut so that no run of equal values is split: starts and sizes of runs."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1]))
-        if last == 0 and (not kept or kept[-1].column(0)[-1].as_py() == key[0]):
-            kept.append(batch)
-            continue
-        yield from _cut(pa.concat_batches([*kept, batch.slice(0, last)]))
-        kept = [batch.slice(last)]
-    if kept:
-        yield from _cut(pa.concat_batches(kept))
-
-
-def _cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    key = batch.column(0).to_numpy()
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    yield starts, np.diff(np.r_[starts, len(key)]), batch
-
-
-def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key the row before or after has too; one batch is held back, whatever the length of a run."""
-    held, before = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            yield _with_neighbours(held, before, batch.column(0)[0].as_py())
-            before = held.column(0)[-1].as_py()
-        held = batch
-    if held is not None:
-        yield _with_neighbours(held, before, None)
-
-
-def _with_neighbours(batch: pa.RecordBatch, before: int | None, after: int | None) -> pa.RecordBatch:
-    key = batch.column(0).to_numpy()
-    same = np.r_[key[0] == before if before is not None else False, key[1:] == key[:-1], key[-1] == after if after is not None else False]
-    return batch.filter(pa.array(same[:-1] | same[1:]))
-
-
-def _verify(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    for starts, sizes, batch in _runs(batches):
-        ids = batch.column(1).to_numpy()
-        fp = np.stack([batch.column(k).to_numpy() for k in range(2, batch.num_columns)], axis=1).view(np.uint64)
-        two = starts[sizes == 2]
-        d = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1)
-        two, d = two[d <= limit], d[d <= limit]
-        a, b, c = [ids[two]], [ids[two + 1]], [d]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            edges = np.array(forest(fp[s : s + n], limit), np.int64).reshape(-1, 3)
-            a.append(ids[s + edges[:, 0]]), b.append(ids[s + edges[:, 1]]), c.append(edges[:, 2])
-        a, b, c = (np.concatenate(x).astype(np.int64) for x in (a, b, c))
-        a, b, c = a[a != b], b[a != b], c[a != b]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(c.astype(np.int32))], ["a", "b", "distance"])
+def _distances(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum((np.bitwise_count(w[a] ^ w[b]).astype(np.int32) for w in words), np.zeros(len(a), np.int32))
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the least label of both to what a[k] and b[k] are in, in place. Labels are places that have themselves as a label."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while ((above := label[label]) != label).any():
+            label[:] = above
+
+
+def close_pairs(words: np.ndarray, masks: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of columns of ``words`` that are within ``limit`` and share a key of ``masks``, enough to connect all such."""
+    n = words.shape[1]
+
+    def trees(rows: np.ndarray, work: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.array(forest(np.ascontiguousarray(words[:, rows].T), limit, work), np.int64).reshape(-1, 3)
+        return rows[edges[:, 0]], rows[edges[:, 1]]
+
+    def measured(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(pair[k] for pair in found)]) for k in (0, 1))
+        return a, b, _distances(words, a, b)
+
+    if n <= 4 * len(masks):
+        return measured([trees(np.arange(n), [0])])
+    work, label, place = [0], np.arange(n), np.arange(n, dtype=np.uint64)
+    found, pending = [], []
+    tried = np.arange(len(masks)) % HOT_SAMPLE == 0
+    for k, m in enumerate(np.argsort(~tried, kind="stable")):
+        both = np.sort((_hashed(words, masks[m]) << _LOW) | place)
+        key, at = (both >> _LOW).astype(np.uint32), both.astype(np.uint32)
+        same = key[1:] == key[:-1]
+        bounds = np.flatnonzero(np.r_[True, ~same, True])
+        new = []
+        for run in np.flatnonzero(np.diff(bounds) > HOT):
+            start, end = bounds[run], bounds[run + 1]
+            same[start : end - 1] = False
+            rows = at[start:end].astype(np.int64)
+            if (label[rows] != label[rows[0]]).any():
+                new.append(trees(rows, work))
+        step, pos = 1, np.flatnonzero(same)
+        while len(pos):  # places of sorted rows that have the key of the row ``step`` places on
+            a, b = at[pos].astype(np.int64), at[pos + step].astype(np.int64)
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            work[0] += len(a)
+            half = _distances(words[:2], a, b) <= limit
+            a, b = a[half], b[half]
+            near = _distances(words, a, b) <= limit
+            new.append((a[near], b[near]))
+            step += 1
+            pos = pos[pos + step < n]
+            pos = pos[key[pos + step] == key[pos]]
+        new = [pair for pair in new if len(pair[0])]
+        found += new
+        pending += new
+        if sum(len(pair[0]) for pair in pending) > n // 16:
+            for pair in pending:
+                _join(label, *pair)
+            pending = []
+        if k + 1 >= tried.sum() and work[0] * len(masks) > (k + 1) * (n * n // 2):
+            return measured([trees(np.arange(n), [0])])
+    return measured(found)
 
 
 def _fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -190,65 +245,37 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], size: Column) ->
 
 def near_pairs(reps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
     """Verified (a, b, distance), a > b, of rows (id, f0..f3) with different fingerprints, enough to connect each group."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                k = block_keys(np.stack([batch.column(c).to_numpy() for c in range(1, batch.num_columns)], axis=1), blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k.shape[1]))], ["key", "id"])
-
     reps = reps.select("id", *_FP)
-    keyed, hot, found = reps.mapInArrow(keys, "key long, id long"), _hot_keys(reps, keys), []
-    if hot is not None:
-        found.append(_hot_pairs(keyed.join(hot, "key").join(reps, "id"), distance))
-        keyed = keyed.join(hot, "key", "left_anti")
-    shared = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long")
-    full = shared.join(reps, "id").select("key", "id", *_FP).repartition("key").sortWithinPartitions("key", "id")
-    found.append(full.mapInArrow(lambda batches: _verify(batches, distance), _EDGE))
-    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    count = reps.count()
+    groups = max(2, -(-count // CELL))
+    meetings = groups * (groups - 1) // 2
+    # few meetings are split by keys; small ones aren't worth it
+    parts = min(-(-PARTS // meetings), 1 + count // 4096)
+    masks = key_masks(distance, blocks)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [batch for batch in batches if batch.num_rows]
+        cell = np.concatenate([np.zeros(0, np.int32), *(batch.column(0).to_numpy() for batch in kept)])
+        for c in np.unique(cell).tolist():  # one, unless Spark merges partitions
+            here = [batch.filter(pa.array(batch.column(0).to_numpy() == c)) for batch in kept]
+            ids = np.concatenate([batch.column(1).to_numpy() for batch in here])
+            words = np.stack([np.concatenate([batch.column(2 + k).to_numpy() for batch in here]) for k in range(len(_FP))]).view(np.uint64)
+            i, j, d = close_pairs(words, masks[c % parts :: parts], distance)
+            a, b = ids[i], ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(d)], ["a", "b", "distance"])
+
+    own, other = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    dealt = reps.select("*", own.alias("own"), other.alias("other")).where("own <> other")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    # meetings by number: those of group 0, those of 1 with higher ones, and so on
+    before = F.shiftright(low * (2 * groups - 1 - low), 1)
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    dealt = dealt.select((before + high - low - 1).alias("meeting"), part.alias("part"), "id", *_FP)
+    dealt = dealt.select((F.col("meeting") * parts + F.col("part")).cast("int").alias("cell"), "id", *_FP)
+    pairs = dealt.repartitionById(meetings * parts, F.col("cell")).mapInArrow(meet, "a long, b long, distance int")
     return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
 
-_EDGE = "a long, b long, distance int"
-
-
-def _hot_keys(reps: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame | None:
-    """(key) of the keys that by a sample are hot, to be joined; None if there are none. At most one for each ``HOT`` / 2 of all keys."""
-    if reps.count() <= HOT:
-        return None
-    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(keys, "key long, id long")
-    hot = checkpoint(sample.groupBy("key").count().where(F.col("count") * HOT_SAMPLE * 2 > HOT).select("key"))
-    count = hot.count()
-    return small_side(hot, count, 16) if count else None
-
-
-def _hot_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """Verified (a, b, distance) of rows (key, id, f0..f3) of hot keys, enough to connect all rows that are within ``limit``."""
-    members = checkpoint(members.select("key", "id", *_FP))
-    lead = F.min(F.struct("id", *_FP))
-    leaders = checkpoint(members.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("n")))
-    keys = leaders.count()
-    d = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"lead.{f}"))) for f in _FP), F.lit(0))
-    measured = members.join(small_side(leaders, keys, 128), "key").withColumn("distance", d.cast("int"))
-    near = measured.where((F.col("distance") <= limit) & (F.col("id") != F.col("lead.id")))
-    stars = near.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b"), "distance")
-    far = checkpoint(measured.where(F.col("distance") > limit).select("key", "id", *_FP, "n"))
-    counts = checkpoint(far.groupBy("key").agg(F.first("n").alias("n"), F.count("*").alias("far")))
-    if not counts.count():
-        return stars
-    # far rows by blocks against all rows by chunks: each pair with a far row is in one cell
-    sizes = counts.select("key", F.ceil(F.col("n") / CELL).cast("long").alias("chunks"), F.ceil(F.col("far") / CELL).cast("long").alias("blocks"))
-    side, row = small_side(sizes, keys, 48), ["id", *_FP]
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    chunks = members.join(side, "key").select("key", *row, F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), each.alias("block"))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    blocks = far.drop("n").join(side, "key").select("key", *row, each.alias("chunk"), F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"))
-    cells = chunks.unionByName(blocks).select(F.xxhash64("key", "chunk", "block").alias("cell"), *row)
-    met = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(lambda batches: _verify(batches, limit), _EDGE)
-    return stars.unionByName(met)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id but the roots; the root is the smallest id of the component. Edges are (a, b), a > b."""
 

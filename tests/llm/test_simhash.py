@@ -39,6 +39,49 @@ def test_close_fingerprints_share_two_blocks():
         assert (keys[0] == keys[1]).any()
 
 
+@pytest.mark.parametrize("distance, blocks", [(S.DISTANCE, S.BLOCKS), (S.DISTANCE, 18), (0, 6), (7, 3), (60, 6)])
+def test_all_fingerprints_within_the_limit_share_a_key(distance, blocks):
+    rng = np.random.default_rng(12)
+    bits = rng.integers(0, 2, (1000, 256)).astype(np.uint8)
+    other = bits.copy()
+    for row in other:
+        row[rng.choice(256, distance, replace=False)] ^= 1
+    a, b = (S.block_keys(np.packbits(x, axis=1).view(np.uint64), blocks, distance) for x in (bits, other))
+    assert (a == b).any(axis=1).all()
+
+
+def flipped(draw, kinds, count, flips):
+    """Fingerprints that differ from one of some centres in ``flips`` bits."""
+    centres = [[draw.getrandbits(1) for _ in range(256)] for _ in range(kinds)]
+    out = []
+    for _ in range(count):
+        bits = list(draw.choice(centres))
+        for b in draw.sample(range(256), flips):
+            bits[b] ^= 1
+        out.append(np.packbits(np.array(bits, np.uint8)).view(np.uint64))
+    return np.array(out)
+
+
+# pairs about the limit; groups whose keys are hot; one template, whose keys cost more than all pairs
+@pytest.mark.parametrize("kinds, flips, sample", [(900, 18, 64), (12, 15, 64), (1, 20, 64), (1, 24, 1)])
+def test_close_pairs_connect_what_all_pairs_connect(monkeypatch, kinds, flips, sample):
+    monkeypatch.setattr(S, "HOT_SAMPLE", sample)
+    fp = flipped(random.Random(13), kinds, 2000, flips)
+    a, b, d = S.close_pairs(np.ascontiguousarray(fp.T), S.key_masks(), S.DISTANCE)
+    assert (np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1) == d).all() and d.max() <= S.DISTANCE
+    assert groups(2000, zip(a.tolist(), b.tolist())) == groups(2000, brute_edges(fp))
+
+
+@pytest.mark.parametrize("cell", [S.CELL, 400])
+def test_no_pair_within_the_limit_is_left_out(spark, monkeypatch, cell):
+    monkeypatch.setattr(S, "CELL", cell)
+    fp = np.concatenate([flipped(random.Random(k), 1, 2, 18) for k in range(700)])
+    pairs = [(k, k + 1) for k in range(0, len(fp), 2) if np.bitwise_count(fp[k] ^ fp[k + 1]).sum() > 30]
+    reps = spark.createDataFrame([(k, *f) for k, f in enumerate(fp.view(np.int64).tolist())], "id long, f0 long, f1 long, f2 long, f3 long")
+    found = {(r.b, r.a) for r in S.near_pairs(reps).collect()}
+    assert set(brute_edges(fp)) == found and len(found.intersection(pairs)) > 300
+
+
 def test_forest_connects_what_all_pairs_connect():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, (5, 4)).astype(np.uint64)
@@ -80,6 +123,21 @@ def test_recall_and_groups_against_brute_force(spark, small):
     assert len(kept) >= 0.95 * sum(r != k for k, r in enumerate(roots))
 
 
+def test_groups_are_those_of_brute_force(spark, small):
+    docs = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    # near copies at the limit: words of a text are replaced until its fingerprint differs in 30 bits or so
+    draw, rows = random.Random(14), [(r.doc_id, r.text) for r in docs]
+    for r in [r for r in docs if r.text and 40 <= len(r.text.split()) <= 400][:150]:
+        words = r.text.split()
+        for k in draw.sample(range(len(words)), len(words) // 9):
+            words[k] = "".join(draw.choices("klmnopqrst", k=8))
+        rows.append((1_000_000 + r.doc_id, " ".join(words)))
+    fp, some = S.fingerprints(pa.array([t for _, t in rows]))
+    roots = groups(len(rows), [(a, b) for a, b in brute_edges(fp) if some[a] and some[b]])
+    kept = {r.doc_id: r.kept_id for r in S.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[k][0]: rows[root][0] for k, root in enumerate(roots) if root != k}
+
+
 def test_large_group_of_copies(spark):
     draw = random.Random(6)
     words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(300)]
