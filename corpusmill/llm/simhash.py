@@ -10,8 +10,8 @@ Fingerprints that share a key are verified by Hamming distance.
 Keys are never shuffled. Fingerprints, 32 bytes each, are dealt into groups of a bounded size, and each two groups meet in one
 task, which makes one key after another and sorts by it in memory. Pairs are reported as long as they join what the task has not joined yet, and a key
 that many share gets a spanning forest, found breadth first, so a group of thousands of copies costs thousands of pairs and not
-millions, and still nothing is capped. Where keys would cost more comparisons than all pairs do, all pairs are compared, so that is the most a
-task can cost. The number of tasks grows with the square of the fingerprints. Near-duplicate groups are the connected components of
+millions, and still nothing is capped. Where keys would cost more comparisons than all pairs do, all pairs are compared, so a task
+costs twice that at most. The number of tasks grows with the square of the fingerprints. Near-duplicate groups are the connected components of
 the verified pairs, made by alternating star contractions.
 
 Only ids, hashes of texts and fingerprints move: texts are read once and never shuffled. Equal fingerprints are one
@@ -175,7 +175,8 @@ def close_pairs(words: np.ndarray, masks: np.ndarray, limit: int) -> tuple[np.nd
     if n <= 4 * len(masks):
         return measured([trees(np.arange(n), [0])])
     work, label, place = [0], np.arange(n), np.arange(n, dtype=np.uint64)
-    found, pending = [], []
+    found, pending, joined = [], [], False
+    head = np.ascontiguousarray(words[:2].T)  # half of each fingerprint, which tells most candidates apart
     tried = np.arange(len(masks)) % HOT_SAMPLE == 0
     for k, m in enumerate(np.argsort(~tried, kind="stable")):
         both = np.sort((_hashed(words, masks[m]) << _LOW) | place)
@@ -192,10 +193,12 @@ def close_pairs(words: np.ndarray, masks: np.ndarray, limit: int) -> tuple[np.nd
         step, pos = 1, np.flatnonzero(same)
         while len(pos):  # places of sorted rows that have the key of the row ``step`` places on
             a, b = at[pos].astype(np.int64), at[pos + step].astype(np.int64)
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
+            if joined:
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
             work[0] += len(a)
-            half = _distances(words[:2], a, b) <= limit
+            half = np.bitwise_count(head.take(a, axis=0) ^ head.take(b, axis=0))
+            half = half[:, 0] + half[:, 1] <= limit
             a, b = a[half], b[half]
             near = _distances(words, a, b) <= limit
             new.append((a[near], b[near]))
@@ -208,8 +211,8 @@ def close_pairs(words: np.ndarray, masks: np.ndarray, limit: int) -> tuple[np.nd
         if sum(len(pair[0]) for pair in pending) > n // 16:
             for pair in pending:
                 _join(label, *pair)
-            pending = []
-        if k + 1 >= tried.sum() and work[0] * len(masks) > (k + 1) * (n * n // 2):
+            pending, joined = [], True
+        if work[0] * len(masks) > max(k + 1, tried.sum()) * (n * n // 2):
             return measured([trees(np.arange(n), [0])])
     return measured(found)
 

@@ -4,7 +4,7 @@ from test_bpe import REFERENCE
 from test_decontaminate import brute as spans_of
 from test_decontaminate import phrases_of
 from test_secrets import brute as secrets_of
-from test_simhash import brute_edges, groups
+from test_simhash import brute_edges, groups, roots_of, with_far_copies
 
 import corpus_pipeline
 from corpusmill.llm import quality, simhash
@@ -35,6 +35,12 @@ def test_against_brute_force(spark, tiny):
     assert got == expected and len(got) < docs.count()
 
 
+def test_near_duplicates_leaves_one_row_of_each_group(spark, small):
+    rows = with_far_copies(spark.read.parquet(f"{small}/documents.parquet"))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), small)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(rows[k][0] for k, root in enumerate(roots_of(rows)) if root == k)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_edges_through_all_stages(spark, edges, nothing, tiny, empty):
     docs = nothing if empty else edges

@@ -123,19 +123,26 @@ def test_recall_and_groups_against_brute_force(spark, small):
     assert len(kept) >= 0.95 * sum(r != k for k, r in enumerate(roots))
 
 
-def test_groups_are_those_of_brute_force(spark, small):
-    docs = [r for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
-    # near copies at the limit: words of a text are replaced until its fingerprint differs in 30 bits or so
-    draw, rows = random.Random(14), [(r.doc_id, r.text) for r in docs]
-    for r in [r for r in docs if r.text and 40 <= len(r.text.split()) <= 400][:150]:
-        words = r.text.split()
+def with_far_copies(docs):
+    """(doc_id, text) of ``docs`` and of copies with a ninth of the words replaced, many of them about the limit."""
+    draw, rows = random.Random(14), [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    for i, text in [(i, t) for i, t in rows if t and 40 <= len(t.split()) <= 400][:150]:
+        words = text.split()
         for k in draw.sample(range(len(words)), len(words) // 9):
             words[k] = "".join(draw.choices("klmnopqrst", k=8))
-        rows.append((1_000_000 + r.doc_id, " ".join(words)))
+        rows.append((1_000_000 + i, " ".join(words)))
+    return rows
+
+
+def roots_of(rows):
     fp, some = S.fingerprints(pa.array([t for _, t in rows]))
-    roots = groups(len(rows), [(a, b) for a, b in brute_edges(fp) if some[a] and some[b]])
+    return groups(len(rows), [(a, b) for a, b in brute_edges(fp) if some[a] and some[b]])
+
+
+def test_groups_are_those_of_brute_force(spark, small):
+    rows = with_far_copies(spark.read.parquet(f"{small}/documents.parquet"))
     kept = {r.doc_id: r.kept_id for r in S.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {rows[k][0]: rows[root][0] for k, root in enumerate(roots) if root != k}
+    assert kept == {rows[k][0]: rows[root][0] for k, root in enumerate(roots_of(rows)) if root != k}
 
 
 def test_large_group_of_copies(spark):
