@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
+from corpusmill.functions.pieces import by_pieces, structs
 from corpusmill.functions.text import python_class, bind
 
 #: Characters that are looked at.
@@ -64,10 +64,7 @@ def counts_of(text: str | None, sample: int = SAMPLE_CHARS) -> tuple[int, ...]:
 def with_counts(docs: DataFrame, text: Column, prefix: str = "_n_", sample: int = SAMPLE_CHARS) -> DataFrame:
     """Adds the number of letters of each script in the first ``sample`` characters."""
 
-    @pandas_udf(", ".join(f"{s} long" for s in RANGES))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts_of(t, sample) for t in texts], columns=list(RANGES))
-
+    run = by_pieces(", ".join(f"{s} long" for s in RANGES), lambda texts: structs([counts_of(t, sample) for t in texts], dict.fromkeys(RANGES, pa.int64())))
     # no more than the sample goes to Python
     counted = docs.withColumn("_h_counts", run(F.substring(text, 1, sample)))
     return counted.select(*docs.columns, *(F.col(f"_h_counts.{s}").alias(prefix + s) for s in RANGES))
@@ -75,8 +72,12 @@ def with_counts(docs: DataFrame, text: Column, prefix: str = "_n_", sample: int
 
 def with_profile(docs: DataFrame, text: Column, prefix: str = "profile_", sample: int = SAMPLE_CHARS) -> DataFrame:
     """Adds script, confidence and space_delimited, named with a prefix."""
+    return profile_of_counts(with_counts(docs, text, "_n_", sample), text, prefix, sample)
+
+
+def profile_of_counts(counted: DataFrame, text: Column, prefix: str = "profile_", sample: int = SAMPLE_CHARS) -> DataFrame:
+    """The same from the counts, which are columns named ``_n_...`` and go."""
     each = {s: F.col(f"_n_{s}") for s in RANGES}
-    counted = with_counts(docs, text, "_n_", sample)
     summed = bind(counted, "_n_", {"total": sum(each.values(), F.lit(0)), "most": F.greatest(*each.values())})
     total, most = F.col("_n_total"), F.col("_n_most")
     head = F.substring(text, 1, sample)

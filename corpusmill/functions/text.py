@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from corpusmill.functions.pieces import by_pieces, strings
 
 #: Python's white space, as members of a Java or RE2 character class.
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -39,19 +39,11 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 
 def _form_udf(form: str):
-    @pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized(form, t) else unicodedata.normalize(form, t), na_action="ignore")
-
-    return run
+    return by_pieces("string", lambda texts: strings([t if t is None or t.isascii() or unicodedata.is_normalized(form, t) else unicodedata.normalize(form, t) for t in texts]))
 
 
 def casefold(text: Column) -> Column:
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.str.casefold()
-
-    return run(text)
+    return by_pieces("string", lambda texts: strings([t if t is None else t.casefold() for t in texts]))(text)
 
 
 def normalize_unicode(text: Column, form: str = "NFKC") -> Column:
@@ -117,11 +109,7 @@ def normalize_one(text: str | None, form: str = "NFKC", quotes: bool = True) ->
 def normalize(text: Column, form: str = "NFKC", quotes: bool = True) -> Column:
     """All of the above, in this order; a null text becomes an empty one."""
 
-    @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([normalize_one(t, form, quotes) for t in texts], dtype=object)
-
-    return run(text)
+    return by_pieces("string", lambda texts: strings([normalize_one(t, form, quotes) for t in texts]))(text)
 
 
 def normalize_by_expressions(text: Column, form: str = "NFKC", quotes: bool = True) -> Column:

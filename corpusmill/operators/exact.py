@@ -6,12 +6,11 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
+from corpusmill.functions.pieces import by_pieces, strings, structs
 from corpusmill.schema import LEVELS
 from corpusmill.storage import checkpoint
 
@@ -35,30 +34,36 @@ def _each(level: str, f: Callable[[str], str]) -> Callable[[Column], Column]:
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
 
-    @pandas_udf(StringType())
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else f(canonical_one(t, level)) for t in text], dtype=object)
-
-    return run
+    return by_pieces("string", lambda texts: strings([None if t is None else f(canonical_one(t, level)) for t in texts]))
 
 
 def canonical(text: Column, level: str = "normalized") -> Column:
     return _each(level, str)(text)
 
 
+def _record_digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def signature(text: Column, level: str = "normalized") -> Column:
     """The digest that the records carry: 32 hexadecimal digits."""
-    return _each(level, lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())(text)
+    return _each(level, _record_digest)(text)
 
 
 def signatures(text: Column) -> Column:
-    return F.struct(*(signature(text, level).alias(level) for level in LEVELS))
+    """The signatures of all levels, made in one worker."""
+    run = by_pieces(", ".join(f"{x} string" for x in LEVELS), lambda texts: structs([tuple(None if t is None else _record_digest(canonical_one(t, x)) for x in LEVELS) for t in texts], dict.fromkeys(LEVELS, pa.string())))
+    return run(text)
+
+
+def digest_one(canonical_text: str) -> str:
+    return hashlib.sha256(canonical_text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def digest(text: Column, level: str = "normalized") -> Column:
     """A 256-bit digest of the canonical text, so that long texts don't make long keys; of a null text, that of an empty one."""
     filled = F.coalesce(text, F.lit(""))
-    return F.sha2(filled, 256) if level == "raw" else _each(level, lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest())(filled)
+    return F.sha2(filled, 256) if level == "raw" else _each(level, digest_one)(filled)
 
 
 def first_of_equal(digests: DataFrame, order_col: str) -> DataFrame:

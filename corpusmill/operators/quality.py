@@ -10,13 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from corpusmill.functions import script as S
 from corpusmill.functions import text as T
+from corpusmill.functions.pieces import by_pieces, structs
 
 BULLETS = "-*•‣◦⁃"
 ELLIPSES = ("...", "…")
@@ -64,15 +64,24 @@ def counts_of(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the counts that all rules are made of, as columns named ``_m_...``; one pass over each text, in an Arrow function."""
+def measure(docs: DataFrame, text_col: str = "text", first: Callable[[str | None], str] | None = None, scripts: bool = False) -> DataFrame:
+    """Adds the counts that all rules are made of, as columns named ``_m_...``; one pass over each text, in an Arrow function.
 
-    @pandas_udf(", ".join(f"{k} long" for k in COUNTS))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts_of(t) for t in texts], columns=COUNTS)
+    ``first``, if given, is applied to each text before, in the same worker, and what it returns becomes the text. ``scripts`` adds
+    the letters of each script, in columns named ``_n_...``.
+    """
+    fields = dict.fromkeys([PREFIX + k for k in COUNTS] + [f"_n_{s}" for s in S.RANGES if scripts], pa.int64())
+    kind = ", ".join(f"{k} long" for k in fields)
+
+    def of(text: str | None) -> tuple[int, ...]:
+        return (*counts_of(text), *S.counts_of(text)) if scripts else counts_of(text)
 
+    if first is None:
+        run = by_pieces(kind, lambda texts: structs([of(t) for t in texts], fields))
+    else:
+        run = by_pieces(f"text string, {kind}", lambda texts: structs([(t, *of(t)) for t in map(first, texts)], {"text": pa.string(), **fields}))
     counted = docs.withColumn("_t_counts", run(F.col(text_col)))
-    return counted.select(*docs.columns, *(F.col(f"_t_counts.{k}").alias(PREFIX + k) for k in COUNTS))
+    return counted.select(*(F.col("_t_counts.text").alias(c) if first and c == text_col else c for c in docs.columns), *(F.col(f"_t_counts.{k}").alias(k) for k in fields))
 
 
 def value_of(rule: str, m: Column) -> Column:
@@ -123,19 +132,19 @@ def rule(name: str, least: float | Column | None = None, most: float | None = No
     )
 
 
-def assess(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[], Column] | Column] | None = None, adapt_to_script: bool = True) -> DataFrame:
+def assess(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[], Column] | Column] | None = None, adapt_to_script: bool = True, first: Callable[[str | None], str] | None = None) -> DataFrame:
     """Adds ``report``: struct<passed, failures, rules map<name, struct>, script, script_confidence, space_delimited>.
 
     All rules that apply are evaluated, whether others fail or not. ``rules`` gives other ones, by
-    name, as struct columns like those of ``rule``; then, and without adaptation, the script fields are null.
+    name, as struct columns like those of ``rule``; then, and without adaptation, the script fields are null. ``first`` as in ``measure``.
     """
     if rules is not None:
         made = {k: (v() if callable(v) else v) for k, v in rules.items()}
-        return _report(measure(docs, text_col), F.array(*made.values()) if made else F.array().cast(f"array<{RULE_TYPE}>"), False)
+        return _report(measure(docs, text_col, first), F.array(*made.values()) if made else F.array().cast(f"array<{RULE_TYPE}>"), False)
     if not adapt_to_script:
-        return _report(measure(docs, text_col), F.array(*(rule(r) for r in DEFAULT_RULES)), False)
+        return _report(measure(docs, text_col, first), F.array(*(rule(r) for r in DEFAULT_RULES)), False)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = S.with_profile(docs, text, "_s_")
+    known = S.profile_of_counts(measure(docs, text_col, first, scripts=True), text, "_s_")
     script, spaced = F.col("_s_script"), F.col("_s_space_delimited")
     dense = S.dense(script)
     every = []
@@ -147,7 +156,7 @@ def assess(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[]
         every.append(F.when(applies, one))
     # the letter rules come before those on lines, as they do in their own list
     order = [RULES.index(r) for r in ("char_count", "symbol_to_char_ratio", *DEFAULT_RULES)]
-    return _report(measure(known, text_col), F.filter(F.array(*(every[k] for k in order)), lambda x: x.isNotNull()), True)
+    return _report(known, F.filter(F.array(*(every[k] for k in order)), lambda x: x.isNotNull()), True)
 
 
 def _report(measured: DataFrame, rules: Column, script: bool) -> DataFrame:

@@ -29,12 +29,12 @@ def annotate(docs: DataFrame, settings: Settings = Settings(), order_col: str =
     for name in ("url", "text", "html", "title", "crawled_at"):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast("string"))
-    ready = extract.prepare(docs, settings).withColumn("crawled_at", F.coalesce("crawled_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))
+    ready = extract.prepare(docs, settings, "_digest").withColumn("crawled_at", F.coalesce("crawled_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")))
     if settings.run_quality:
         ready = quality.assess(ready, adapt_to_script=settings.adapt_to_script)
     else:
         ready = ready.withColumn("report", F.lit(None).cast(NO_REPORT))
-    ready = ready.withColumn("empty", F.col("text") == "").withColumn("_digest", exact.digest(F.col("text"), settings.exact_level))
+    ready = ready.withColumn("empty", F.col("text") == "")
     # prepared texts are computed once: the stages below read them several times
     ready = checkpoint(ready)
     told = on_progress or (lambda stage, rows: None)
