@@ -11,15 +11,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from corpusmill.functions import text as T
+from corpusmill.functions.pieces import by_pieces
 from corpusmill.storage import checkpoint
 
 PRIME = (1 << 61) - 1
@@ -72,16 +72,17 @@ def sign(text: str, a: np.ndarray, b: np.ndarray, n: int = 5) -> np.ndarray:
     return best
 
 
-def signature(text: Column, num_perm: int = 128, ngram: int = 5, seed: int = 1) -> Column:
-    """array<bigint> of ``num_perm`` minima."""
+def signature(text: Column, num_perm: int = 128, ngram: int = 5, seed: int = 1, first: Callable[[str | None], str] | None = None) -> Column:
+    """array<bigint> of ``num_perm`` minima. ``first``, if given, is applied to each text before, in the same worker."""
 
-    @pandas_udf("array<bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: list[str | None]) -> pa.Array:
         a, b = permutations(num_perm, seed)
-        for batch in batches:
-            yield pd.Series([sign(t or "", a, b, ngram).astype(np.int64) for t in batch])
+        flat = np.empty((len(texts), num_perm), np.int64)
+        for k, t in enumerate(texts):
+            flat[k] = sign((first(t) if first else t) or "", a, b, ngram)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * num_perm, pa.int32()), pa.array(flat.reshape(-1)))
 
-    return run(text)
+    return by_pieces("array<bigint>", run)(text)
 
 
 def shingles(text: Column, n: int = 5) -> Column:
@@ -178,12 +179,12 @@ def greedy(edges: DataFrame) -> DataFrame:
             return state
 
 
-def deduplicate(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, bands: int = 32, ngram: int = 5, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, bands: int = 32, ngram: int = 5, order_col: str = "doc_id", text_col: str = "text", first: Callable[[str | None], str] | None = None) -> DataFrame:
     """(ord, is_dup, matched_ord, similarity) of every row; ``order_col`` must be unique and is the input order.
 
-    The match reported is the most similar of the earlier rows that stay, the first of them in a tie.
+    The match reported is the most similar of the earlier rows that stay, the first of them in a tie. ``first`` as in ``signature``.
     """
-    signed = checkpoint(docs.select(F.col(order_col).alias("ord"), signature(F.col(text_col), num_perm, ngram).alias("sig")))
+    signed = checkpoint(docs.select(F.col(order_col).alias("ord"), signature(F.col(text_col), num_perm, ngram, first=first).alias("sig")))
     grouped = checkpoint(with_lead(signed))
     leads = grouped.where("ord = lead").select("ord", "sig")
     edges = checkpoint(similar_pairs(leads, threshold, num_perm, bands))

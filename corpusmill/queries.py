@@ -210,12 +210,12 @@ def exact_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normed(spark, sf_dir).select("doc_id", minhash.signature(F.col("text")).alias("signature"))
+    return table(spark, sf_dir, "documents").select("doc_id", minhash.signature(F.col("text"), first=T.normalize_one).alias("signature"))
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of all documents."""
-    return normed(spark, sf_dir).select(F.col("doc_id").alias("ord"), minhash.signature(F.col("text")).alias("sig"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), minhash.signature(F.col("text"), first=T.normalize_one).alias("sig"))
 
 
 @query()
@@ -230,7 +230,7 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(normed(spark, sf_dir).select("doc_id", "text"))
+    return minhash.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), first=T.normalize_one)
 
 
 @query()

@@ -36,7 +36,7 @@ print("WORKERS", *(mb for pid, (_, mb, name) in parents.items() if "python" in n
 """
 
 
-@pytest.mark.parametrize("name, most", [("rule_symbol_to_word_ratio", 245), ("failure_histogram", 320), ("stage_outcomes", 480)])
+@pytest.mark.parametrize("name, most", [("minhash_signature", 320), ("rule_symbol_to_word_ratio", 245), ("failure_histogram", 320), ("stage_outcomes", 480)])
 def test_workers_of_a_task(tmp_path, name, most):
     """Peaks of all Python processes of one core, the daemon among them, over a batch of 8 000 texts of 5 kB."""
     code = CODE.replace("FOLDER", str(tmp_path)).replace("NAME", name)
