@@ -24,6 +24,8 @@ from corpusmill.storage import checkpoint
 
 PRIME = (1 << 61) - 1
 EMPTY = (1 << 32) - 1
+#: Hashes that are worked on at once, so that a core's cache holds their blocks.
+BLOCK = 128
 _WORD = re.compile(r"\w+")
 
 
@@ -42,17 +44,35 @@ def _fold(x: np.ndarray) -> np.ndarray:
 
 
 def multiply_add(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(a * h + b) mod 2**61 - 1, in 64-bit steps; ``a`` and ``b`` along the columns, ``h`` along the rows."""
-    low, high = h & np.uint64((1 << 29) - 1), h >> np.uint64(29)  # 29 and 32 bits
-    a_low, a_high = a & np.uint64((1 << 29) - 1), a >> np.uint64(29)
-    ll = low[:, None] * a_low  # below 2**58
-    lh = low[:, None] * a_high + _fold(high[:, None] * a_low)  # times 2**29
-    hh = _fold(high[:, None] * a_high)  # times 2**58
-    lh = _fold(lh)
-    # x * 2**29 mod p: the upper 29 of 61 bits come round
-    lh = ((lh & np.uint64((1 << 32) - 1)) << np.uint64(29)) + (lh >> np.uint64(32))
-    hh = ((hh & np.uint64(7)) << np.uint64(58)) + (hh >> np.uint64(3))
-    return _fold(_fold(ll + lh) + _fold(hh) + b)
+    """(a * h + b) mod 2**61 - 1, in 64-bit steps; ``a`` and ``b`` along the columns, ``h`` along the rows, all below the prime.
+
+    Terms are added up unreduced, as together they stay below 2**64. Three blocks are worked on in place.
+    """
+    half, p = np.uint64((1 << 29) - 1), np.uint64(PRIME)
+    low, high = (h & half)[:, None], (h >> np.uint64(29))[:, None]  # 29 and 32 bits
+    a_low, a_high = a & half, a >> np.uint64(29)
+    out = low * a_low  # below 2**58
+    middle, t = low * a_high, high * a_low  # below 2**61 each; times 2**29
+    middle += t
+    # x * 2**29 mod p: what is above 32 bits comes round
+    np.right_shift(middle, np.uint64(32), out=t)
+    out += t
+    middle &= np.uint64((1 << 32) - 1)
+    middle <<= np.uint64(29)
+    out += middle
+    np.multiply(high, a_high, out=t)  # times 2**58: what is above 3 bits comes round
+    np.right_shift(t, np.uint64(3), out=middle)
+    out += middle
+    t <<= np.uint64(61)
+    t >>= np.uint64(3)
+    out += t
+    out += b
+    np.right_shift(out, np.uint64(61), out=t)
+    out &= p
+    out += t  # at most the prime and 7
+    if out.size and out.max() >= p:
+        out -= np.where(out >= p, p, np.uint64(0))
+    return out
 
 
 def shingle_set(source: str, width: int = 5) -> set[str]:
@@ -66,9 +86,10 @@ def sign(text: str, a: np.ndarray, b: np.ndarray, n: int = 5) -> np.ndarray:
     if found:
         hashes = np.frombuffer(b"".join(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest() for s in found), ">u8").astype(np.uint64)
         hashes = _fold(hashes)
-        for k in range(0, len(hashes), 2048):
-            values = multiply_add(a, hashes[k : k + 2048], b) & np.uint64(EMPTY)
-            best = np.minimum(best, values.min(axis=0))
+        for k in range(0, len(hashes), BLOCK):
+            values = multiply_add(a, hashes[k : k + BLOCK], b)
+            values &= np.uint64(EMPTY)
+            np.minimum(best, values.min(axis=0), out=best)
     return best
 
 

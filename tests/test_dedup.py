@@ -54,6 +54,23 @@ def test_modular_arithmetic():
             assert int(got[i, j]) == (int(a[j]) * int(h[i]) + int(b[j])) % minhash.PRIME
 
 
+def test_arithmetic_in_three_blocks():
+    """What signing costs is the blocks that it goes through; ends of the range are exact."""
+    import tracemalloc
+
+    ends = np.array([0, 1, 7, 8, (1 << 29) - 1, 1 << 29, (1 << 32) - 1, 1 << 32, minhash.PRIME // 2, minhash.PRIME - 2, minhash.PRIME - 1], np.uint64)
+    for b in ends:
+        got = minhash.multiply_add(ends, ends, np.full(len(ends), b, np.uint64)).tolist()
+        assert got == [[(int(x) * int(h) + int(b)) % minhash.PRIME for x in ends] for h in ends]
+    a, b = minhash.permutations(128)
+    h = np.arange(2048, dtype=np.uint64)
+    tracemalloc.start()
+    minhash.multiply_add(a, h, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 2048 * 128 * 8, peak
+
+
 def test_estimate_is_near_jaccard(spark):
     base = [f"w{k}" for k in range(60)]
     other = base[:30] + ["new"] + base[31:]
